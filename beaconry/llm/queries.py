@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from beaconry.llm import sharding
+from beaconry.llm import cuckoo, sharding
 from beaconry.llm.common import table
 
 
+def op6_exact_dedup(spark, sf_dir):
+    return cuckoo.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op10_sharding,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op6_exact_dedup, op10_sharding)}
+ORACLE: dict[str, str] = {
+    "op6_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+}
