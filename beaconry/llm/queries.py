@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from beaconry.llm import cuckoo, sharding
+from beaconry.llm import cuckoo, packing, sharding
 from beaconry.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark, sf_dir):
+    return packing.pack(packing.tokenise(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return cuckoo.dedup(table(spark, sf_dir, "documents"))
 
@@ -14,7 +24,7 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op5_packing, op6_exact_dedup, op10_sharding)}
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
