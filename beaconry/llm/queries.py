@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from beaconry.llm import cuckoo, packing, sharding
+from beaconry.llm import cuckoo, minhash, packing, sharding
 from beaconry.llm.common import table
 
 
+def op3_minhash_dedup(spark, sf_dir):
+    return minhash.dedup(table(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -24,7 +28,7 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_minhash_dedup, op5_packing, op6_exact_dedup, op10_sharding)}
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
