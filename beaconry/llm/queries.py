@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from beaconry.llm import cuckoo, minhash, packing, quality, sharding, toxicity
+from beaconry.llm import cuckoo, minhash, packing, pii, quality, sharding, toxicity
 from beaconry.llm.common import table
 
 
+def op1_pii(spark, sf_dir):
+    return pii.extract(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,7 +40,7 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_minhash_dedup, op5_packing, op6_exact_dedup, op7_toxicity, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_minhash_dedup, op5_packing, op6_exact_dedup, op7_toxicity, op10_sharding)}
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
