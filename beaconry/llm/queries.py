@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beaconry.llm import cuckoo, minhash, packing, pii, quality, sharding, toxicity
+from beaconry.llm import cuckoo, minhash, packing, pii, quality, secrets, sharding, toxicity
 from beaconry.llm.common import table
 
 
@@ -36,11 +36,15 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_minhash_dedup, op5_packing, op6_exact_dedup, op7_toxicity, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_minhash_dedup, op5_packing, op6_exact_dedup, op7_toxicity, op8_secrets, op10_sharding)}
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
