@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beaconry.llm import cuckoo, minhash, packing, pii, quality, secrets, sharding, toxicity
+from beaconry.llm import cuckoo, minhash, mips, packing, pii, quality, secrets, sharding, toxicity
 from beaconry.llm.common import table
 
 
@@ -40,15 +40,31 @@ def op8_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark, sf_dir):
+    rows = mips.integers(table(spark, sf_dir, "embeddings"))
+    return mips.top(rows, rows.filter("vec_id % 50 = 0"))
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_minhash_dedup, op5_packing, op6_exact_dedup, op7_toxicity, op8_secrets, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_minhash_dedup, op5_packing, op6_exact_dedup, op7_toxicity, op8_secrets, op9_top_k, op10_sharding)}
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op9_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
 }
