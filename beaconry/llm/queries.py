@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beaconry.llm import cuckoo, minhash, mips, packing, pii, quality, secrets, sharding, toxicity
+from beaconry.llm import cuckoo, minhash, mips, packing, pii, quality, secrets, sharding, toxicity, wfst
 from beaconry.llm.common import table
 
 
@@ -24,6 +24,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_sentencepiece(spark, sf_dir):
+    return wfst.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack(packing.tokenise(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
@@ -49,7 +53,7 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_minhash_dedup, op5_packing, op6_exact_dedup, op7_toxicity, op8_secrets, op9_top_k, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_minhash_dedup, op4_sentencepiece, op5_packing, op6_exact_dedup, op7_toxicity, op8_secrets, op9_top_k, op10_sharding)}
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
