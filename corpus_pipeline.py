@@ -1,16 +1,63 @@
-"""A training-data pipeline over `documents`, from raw rows to packed sequences."""
+"""A training-data pipeline over `documents`, from raw rows to packed sequences.
+
+1. toxicity     documents that the classifier chain calls toxic go
+2. exact_dedup  of equal texts the row with the largest doc_id stays
+3. near_dedup   of each class of near duplicates the smallest doc_id stays
+4. secrets      secrets in the texts are masked, every document stays
+5. packing      what is left is tokenised and packed into sequences
+
+Each stage is one operator of beaconry.llm on all rows that the stage before it
+kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-#: SQL cannot express the stages; tests/llm holds them against brute-force versions.
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from beaconry.llm import cuckoo, minhash, packing, secrets, toxicity
+from beaconry.llm.common import materialise, table
+from beaconry.llm.queries import vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose last link's probability stays below the threshold. The labels are sf_dir's, where they still have a document."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: that with the largest doc_id; of rows that repeat it, one."""
+    kept = cuckoo.dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    rows = docs.withColumn("_digest", digest)
+    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_digest"] == kept["_digest"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that with the smallest doc_id. Rows without doc_id stay."""
+    gone = minhash.dedup(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets masked."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 ids."""
+    return packing.pack(packing.tokenise(docs, vocabulary("word_bpe_49k.json")))
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near), ("secrets", mask_secrets), ("packing", pack)]
+
+#: SQL cannot express the stages; tests/llm holds each against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to `documents`; each result is written as Parquet and read as the next stage's docs."""
-    from beaconry.llm.common import materialise, table
-
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
