@@ -217,20 +217,15 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
 
 def redact(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> DataFrame:
     """docs, every row and column, with each span (overlapping ones as one) replaced by mark, and n_chars following."""
-    noted = annotate(docs).withColumnRenamed("base", "_base").withColumnRenamed("found", "found_")
-    limit = limits(noted.select(F.col("found_").alias("found")), rate)
-    more = F.array().cast(_SPAN)
-    if limit:
-        noted = noted.withColumn("found", F.col("found_"))
-        more = _more(limit)
-    noted = noted.withColumn("_spans", F.array_sort(F.concat("_base", more)))
+    noted = annotate(docs.select(F.struct(*docs.columns).alias("_row"), "text"))  # so that no column of docs meets one of ours
+    noted = noted.withColumn("_spans", F.array_sort(F.concat("base", _more(limits(noted, rate)))))
     step = lambda s, x: F.struct(
         F.greatest(s["at"], x["b"]).alias("at"),
         F.when(x["a"] >= s["at"], F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["a"] - s["at"]).cast("int")), F.lit(mark))).otherwise(s["out"]).alias("out"),
     )
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     text = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
-    noted = noted.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        noted = noted.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return noted.select(*docs.columns)
+    has = F.size("_spans") > 0
+    noted = noted.withColumn("text", F.when(has, text).otherwise(F.col("text")))
+    new = {"text": F.col("text"), "n_chars": F.when(has, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return noted.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
