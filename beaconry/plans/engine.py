@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconry.operators import bm25, docs, extract, graph, pack, rank
+from beaconry.plans.storage import written
 from beaconry.sources import tree
 
 
 @dataclass
 class Corpus:
-    """Facts of a tree. Tables are lazy; persist() keeps those that every query reads."""
+    """Facts of a tree."""
 
     symbols: DataFrame
     edges: DataFrame
@@ -26,11 +27,6 @@ class Corpus:
     vectors: DataFrame | None = None
     options: dict = field(default_factory=dict)
 
-    def persist(self) -> Corpus:
-        for t in (self.symbols, self.edges, self.sections):
-            t.persist()
-        return self
-
 
 def build(files: DataFrame, overlay: tuple[DataFrame, DataFrame] | None = None) -> Corpus:
     """files: path, content. Python goes through the syntax tree, other known languages through lines, prose into sections."""
@@ -43,24 +39,28 @@ def build(files: DataFrame, overlay: tuple[DataFrame, DataFrame] | None = None)
     symbols = extract.runtime_strings(symbols, text).withColumn("seq", F.dense_rank().over(extract.Window.orderBy("file", "sl", "id")).cast("long"))
     imports = i1.unionByName(i2).withColumn("seq", F.col("at_line").cast("long"))
     edges = e1.withColumn("seq", F.dense_rank().over(extract.Window.orderBy("at_file", "at_line", "src", "name", "kind")).cast("long"))
-    edges = graph.resolve(edges, symbols, imports)
+    symbols, imports = written(symbols, "symbols"), written(imports, "imports")
+    edges = graph.resolve(written(edges, "edges"), symbols, imports)
     if overlay is not None:
         symbols = graph.overlay_symbols(symbols, overlay[0])
         edges = graph.overlay_edges(edges, overlay[1], symbols)
-    found = docs.extract(files)
-    secs = docs.split(found)
-    return Corpus(symbols, edges, imports, found, secs, docs.code_links(secs, symbols), text, tree.manifest(files))
+        symbols = written(symbols, "symbols")
+    found = written(docs.extract(files), "docs")
+    secs = written(docs.split(found), "sections")
+    return Corpus(symbols, written(edges, "edges"), imports, found, secs, docs.code_links(secs, symbols), text, tree.manifest(files))
 
 
 def observe(c: Corpus, tasks: DataFrame, budget: int = 1200, changed: DataFrame | None = None, cochanged: DataFrame | None = None, semantic: DataFrame | None = None, lanes: tuple[str, ...] = ("bm25", "docs", "files", "semantic"), seen: DataFrame | None = None) -> DataFrame:
     """A capsule for each of many tasks (task_id, text)."""
     names = c.files.select(F.col("path").alias("file"))
     explicit = rank.explicit_files(tasks, names)
-    lex = rank.lexical(tasks, c.symbols, c.edges, changed, explicit, cochanged).persist()
-    hits = rank.combine(lex, rank.propagate(lex.select("task_id", "id", "base"), c.edges), c.symbols, tasks, explicit)
+    tasks, explicit = written(tasks, "tasks"), written(explicit, "explicit")
+    # Hits are read several times in each lane, so every lane's result is a table; a task has a few hundred of them.
+    lex = written(rank.lexical(tasks, c.symbols, c.edges, changed, explicit, cochanged), "lexical")
+    hits = written(rank.combine(lex, rank.propagate(lex.select("task_id", "id", "base"), c.edges), c.symbols, tasks, explicit), "hits")
     if "bm25" in lanes:
         rows = c.symbols.select("id", F.concat_ws(" ", "name", "sig", "doc", "file").alias("body"))
-        sym = bm25.search(rows, tasks, "id", "body", "task_id", "text", stem=True)
+        sym = written(bm25.search(rows, tasks, "id", "body", "task_id", "text", stem=True), "bm25")
         no = sym.limit(0).select("task_id", F.lit("").alias("file"), F.lit(1).alias("line"), F.lit(0.0).alias("bm25"), F.lit(0).cast("long").alias("coverage"))
         found = no
         if "docs" in lanes:
@@ -69,15 +69,15 @@ def observe(c: Corpus, tasks: DataFrame, budget: int = 1200, changed: DataFrame
             best = best.groupBy("task_id", "file").agg(F.min_by("line", "rank").alias("line"), F.max("score").alias("bm25"))
             held = c.docs.select("file", F.explode(rank.T.meaningful(F.col("text"))).alias("term")).join(rank.task_terms(tasks).distinct(), "term").groupBy("task_id", "file").agg(F.count("*").alias("coverage"))
             found = best.join(held, ["task_id", "file"], "left").fillna(0, ["coverage"])
-        hits = rank.fuse_bm25(hits, c.symbols, found, sym, tasks, lex)
+        hits = written(rank.fuse_bm25(hits, c.symbols, written(found, "bm25"), sym, tasks, lex), "hits")
     if "files" in lanes:
         content = rank.symbol_terms(c.symbols).join(c.symbols.select("id", "file"), "id").select("file", "term").union(c.docs.select("file", F.explode(rank.T.meaningful(F.col("text"))).alias("term"))).distinct()
-        hits = rank.fuse_files(hits, rank.rank_files(tasks, names, content))
-    gate = rank.confidence(hits, tasks)
+        hits = written(rank.fuse_files(hits, written(rank.rank_files(tasks, names, content), "files")), "hits")
+    gate = written(rank.confidence(hits, tasks), "gate")
     if "semantic" in lanes and semantic is not None:
         open_ = gate.filter(F.col("confidence").isin("weak", "empty")).select("task_id")
         info = c.symbols.select("id", "file", "name", "kind", "sig", "sl", "el", "name_line", "conf")
-        hits = rank.fuse_semantic(hits, semantic.join(open_, "task_id", "left_semi"), info, tasks)
+        hits = written(rank.fuse_semantic(hits, semantic.join(open_, "task_id", "left_semi"), info, tasks), "hits")
     cards = graph.dir_cards(c.symbols, c.docs)
     top = graph.rank_dirs(cards, hits).select("task_id", "k", graph.render_card().alias("card"))
     told = None if changed is None else tasks.select("task_id").crossJoin(F.broadcast(changed.select("file").orderBy("file").limit(8)))

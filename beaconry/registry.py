@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from beaconry.plans.queries import ORACLE, QUERIES
+
 FLAGSHIP = "bm25_docs_top20"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
