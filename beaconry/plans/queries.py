@@ -318,7 +318,7 @@ def _part_tasks(spark, d):
     x AS (SELECT DISTINCT task_id, file, TRUE AS ex FROM q JOIN (SELECT DISTINCT file FROM s) ON contains(text, regexp_extract(file, '([^/]*)$', 1))), dg AS (SELECT src AS id, count(*) AS dg FROM e GROUP BY 1),
     j AS (SELECT q.task_id, q.text, s.*, coalesce(m, 0) AS m, coalesce(pm, 0) AS pm, coalesce(ex, FALSE) AS ex, coalesce(dg, 0) AS dg FROM q JOIN s ON TRUE LEFT JOIN m USING (task_id, id) LEFT JOIN pm USING (task_id, file) LEFT JOIN x USING (task_id, file) LEFT JOIN dg USING (id)
         WHERE m IS NOT NULL OR pm IS NOT NULL OR ex)
-    SELECT task_id, id, m AS matched, pm AS path_matched, round(CAST((m * 2.0 + pm * 1.5 + CASE WHEN ex THEN 20 ELSE 0 END + CASE WHEN test THEN 0.6 ELSE 0 END + CASE WHEN kind = 'config' THEN 0.8 ELSE 0 END + CASE WHEN exported THEN 0.2 ELSE 0 END + least(dg, 30) * 0.04)
+    SELECT task_id, id, m AS matched, pm AS path_matched, round(CAST((m * 2.0 + CASE WHEN lower(name) = text THEN 4 ELSE 0 END + CASE WHEN test AND length(name) >= 6 AND contains(' ' || text || ' ', ' ' || lower(name) || ' ') THEN 6 ELSE 0 END + pm * 1.5 + CASE WHEN ex THEN 20 ELSE 0 END + CASE WHEN test THEN 0.6 ELSE 0 END + CASE WHEN kind = 'config' THEN 0.8 ELSE 0 END + CASE WHEN exported THEN 0.2 ELSE 0 END + least(dg, 30) * 0.04)
         * CASE WHEN m = 0 AND length(name) <= 4 AND test THEN 0.4 ELSE 1 END * CASE WHEN contains(text, 'excluding tests') AND test THEN 0.05 ELSE 1 END * CASE WHEN contains(text, 'only config') AND kind <> 'config' THEN 0.4 ELSE 1 END
         * CASE WHEN contains(text, 'under brand2') AND NOT starts_with(file, 'brand2/') THEN 0.3 ELSE 1 END AS DOUBLE), 6) AS base FROM j""")
 def lexical_score(spark, d):
@@ -429,8 +429,8 @@ def blast_radius(spark, d):
 
 @query("""WITH u AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey), c AS (SELECT o_custkey AS commit_seq, l_partkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY l_partkey) - 1 AS pos FROM u),
     p AS (SELECT x.commit_seq, x.pos AS i, y.pos AS j, least(CAST(x.file AS VARCHAR), CAST(y.file AS VARCHAR)) AS a, greatest(CAST(x.file AS VARCHAR), CAST(y.file AS VARCHAR)) AS b FROM c x JOIN c y USING (commit_seq) WHERE x.pos < y.pos AND y.pos < 12 AND commit_seq < 20),
-    f AS (SELECT a, b, min((commit_seq, i, j)) AS t FROM p GROUP BY ALL), k AS (SELECT max(t) AS cut FROM (SELECT t FROM f ORDER BY t LIMIT 80))
-    SELECT a, b, count(*) AS n FROM p, k WHERE (commit_seq, i, j) <= cut GROUP BY ALL""")
+    f AS (SELECT a, b, min(commit_seq * 10000 + i * 100 + j) AS t FROM p GROUP BY ALL), k AS (SELECT max(t) AS cut FROM (SELECT t FROM f ORDER BY t LIMIT 80))
+    SELECT a, b, count(*) AS n FROM p, k WHERE commit_seq * 10000 + i * 100 + j <= cut GROUP BY ALL""")
 def cochange_pairs(spark, d):
     c = _t(spark, d, "orders").select("o_orderkey", "o_custkey").distinct().join(_t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").distinct(), "o_orderkey").select("o_custkey", "l_partkey").distinct()
     pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("l_partkey")) - 1
