@@ -427,8 +427,8 @@ def blast_radius(spark, d):
     return b.groupBy("file").agg((F.count("*") + F.max("more")).alias("n"), F.count("*").alias("shown"), F.max("more").cast("long").alias("more"))
 
 
-@query("""WITH u AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey), c AS (SELECT o_custkey AS commit_seq, l_partkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY l_partkey) - 1 AS pos FROM u),
-    p AS (SELECT x.commit_seq, x.pos AS i, y.pos AS j, least(CAST(x.file AS VARCHAR), CAST(y.file AS VARCHAR)) AS a, greatest(CAST(x.file AS VARCHAR), CAST(y.file AS VARCHAR)) AS b FROM c x JOIN c y USING (commit_seq) WHERE x.pos < y.pos AND y.pos < 12 AND commit_seq < 20),
+@query("""WITH u AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey), c AS (SELECT o_custkey AS commit_seq, l_partkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY l_partkey) AS pos FROM u),
+    p AS (SELECT x.commit_seq, x.pos AS i, y.pos AS j, least(CAST(x.file AS VARCHAR), CAST(y.file AS VARCHAR)) AS a, greatest(CAST(x.file AS VARCHAR), CAST(y.file AS VARCHAR)) AS b FROM c x JOIN c y USING (commit_seq) WHERE x.pos < y.pos AND y.pos <= 12 AND commit_seq < 20),
     f AS (SELECT a, b, min(commit_seq * 10000 + i * 100 + j) AS t FROM p GROUP BY ALL), k AS (SELECT max(t) AS cut FROM (SELECT t FROM f ORDER BY t LIMIT 80))
     SELECT a, b, count(*) AS n FROM p, k WHERE commit_seq * 10000 + i * 100 + j <= cut GROUP BY ALL""")
 def cochange_pairs(spark, d):
