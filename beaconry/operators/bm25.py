@@ -47,7 +47,7 @@ def query_terms(tasks: DataFrame, key: str, text: str, stem: bool = False) -> Da
 
 def score(freq: DataFrame, lengths: DataFrame, totals: DataFrame, query: DataFrame, key: str, task: str) -> DataFrame:
     """task, key, score of every row that shares a term with the task."""
-    wanted = freq.join(F.broadcast(query.select("term").distinct()), "term", "left_semi")  # frequent words that nobody asks for go first
+    wanted = freq.join(query.select("term").distinct(), "term", "left_semi")  # frequent words that nobody asks for go first
     df = wanted.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = df.crossJoin(F.broadcast(totals)).select("term", "mean_dl", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))

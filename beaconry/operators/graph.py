@@ -64,7 +64,7 @@ def overlay_edges(edges: DataFrame, over: DataFrame, ids: DataFrame) -> DataFram
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in key]
     mark = o.select(*key).withColumn("hit", F.lit(True))
     kept = edges.join(mark, same(edges, mark), "left").select(*(edges[c] for c in edges.columns if c != "conf"), F.when(F.col("hit") & edges["dst"].isNotNull(), "exact").otherwise(edges["conf"]).alias("conf"))
-    new = o.join(edges.select(*key), same(o, edges), "left_anti").withColumn("name", F.coalesce(F.nullif(F.split("dst", "::")[1], F.lit("")), "dst", F.lit("")))
+    new = o.join(edges.select(*key), same(o, edges), "left_anti").withColumn("name", F.coalesce(F.nullif(F.get(F.split("dst", "::"), 1), F.lit("")), "dst", F.lit("")))
     new = new.withColumn("conf", F.when(F.col("dst").isNotNull(), "exact").otherwise("heuristic")).withColumn("seq", F.lit(None).cast(dict(edges.dtypes)["seq"]))
     return kept.unionByName(new.select(*kept.columns))
 
@@ -204,7 +204,7 @@ def map_dir(symbols: DataFrame, edges: DataFrame, dir_: str, files: int = 12, ea
     shown = s.filter(F.col("f") <= files).withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("name_line", "id")))
     block = shown.filter(F.col("k") <= each).select("file", "k", "id", "name", F.col("name_line").alias("line"), (F.col("n_files") > files).alias("truncated"))
     e = edges.filter((F.col("kind") == "call") & F.col("dst").isNotNull() | (F.col("kind") == "test")).join(shown.select(F.col("id").alias("src"), "file"), "src")
-    to = F.when(F.col("kind") == "call", F.concat(F.lit(" -> "), F.split("dst", "::")[1])).otherwise("")
+    to = F.when(F.col("kind") == "call", F.concat(F.lit(" -> "), F.coalesce(F.get(F.split("dst", "::"), 1), "dst"))).otherwise("")
     e = e.select("file", "kind", F.concat("name", to, F.lit(" ("), "at_file", F.lit(":"), F.col("at_line").cast("string"), F.lit(")")).alias("label"), "seq")
     e = e.groupBy("file", "kind", "label").agg(F.min("seq").alias("seq")).withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("seq", "label")))
     return block, e.filter(F.col("k") <= most).select("file", F.when(F.col("kind") == "call", "calls").otherwise("tests_out").alias("kind"), "label")

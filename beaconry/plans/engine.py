@@ -80,5 +80,5 @@ def observe(c: Corpus, tasks: DataFrame, budget: int = 1200, changed: DataFrame
         hits = written(rank.fuse_semantic(hits, semantic.join(open_, "task_id", "left_semi"), info, tasks), "hits")
     cards = graph.dir_cards(c.symbols, c.docs)
     top = graph.rank_dirs(cards, hits).select("task_id", "k", graph.render_card().alias("card"))
-    told = None if changed is None else tasks.select("task_id").crossJoin(F.broadcast(changed.select("file").orderBy("file").limit(8)))
+    told = None if changed is None else tasks.select("task_id").crossJoin(changed.select("file").orderBy("file").limit(8))
     return pack.capsules(tasks, hits, gate, top, told, rank.unresolved_terms(tasks, hits), seen, budget)

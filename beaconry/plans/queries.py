@@ -475,11 +475,11 @@ def overlay_upsert(spark, d):
 # --- vectors -------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH q AS (SELECT vec_id AS task_id, embedding AS q FROM embeddings WHERE vec_id < 20), s AS (SELECT task_id, vec_id AS key, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS sim FROM q, embeddings)
+@query("""WITH q AS (SELECT vec_id AS task_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT task_id, vec_id AS key, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS sim FROM q, embeddings)
     SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY sim DESC, key) AS rank, key, sim FROM s WHERE sim >= 0.2 QUALIFY rank <= 10""")
 def cosine_topk(spark, d):
     v = _t(spark, d, "embeddings")
-    return rank.cosine_top(v.select(F.col("vec_id").alias("key"), F.col("embedding").alias("v")), v.filter("vec_id < 20").select(F.col("vec_id").alias("task_id"), F.col("embedding").alias("q")))
+    return rank.cosine_top(v.select(F.col("vec_id").alias("key"), F.col("embedding").alias("v")), v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("task_id"), F.col("embedding").alias("q")))
 
 
 @query("""WITH e AS (SELECT label, unnest(range(0, 64)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), m AS (SELECT label, pos, avg(x) AS x FROM e GROUP BY ALL)
@@ -562,7 +562,7 @@ def recall_mrr(spark, d):
     w = lambda c: F.regexp_extract_all(c, F.lit(r"([^\s]+)"), F.lit(1))
     first = items.select("item_id", F.col("text").alias("item"), F.xxhash64(F.array_join(F.slice(F.slice(w(F.col("text")), 2, 8), 1, 8), " ")).alias("h"))
     held = docs_.select("doc_id", "text", w(F.col("text")).alias("w")).select("doc_id", "text", F.explode(key(F.col("w"))).alias("h"))
-    want = held.join(F.broadcast(first), "h").filter(F.contains("text", "item")).select("item_id", "doc_id").distinct()
+    want = held.join(first, "h").filter(F.contains("text", "item")).select("item_id", "doc_id").distinct()
     return evaluate.recall(bm25_docs_top20(spark, d), want, 10, "item_id", "doc_id")
 
 
@@ -646,5 +646,5 @@ def observe_capsules(spark, d):
     from beaconry.plans import engine
 
     files = _source(spark, d).select("path", F.encode("text", "UTF-8").alias("content"))
-    names = _t(spark, d, "part").filter("p_partkey < 20").select(F.col("p_partkey").cast("string").alias("task_id"), F.concat(F.lit("who makes "), "p_name").alias("text"))
+    names = _t(spark, d, "part").select(F.col("p_name").alias("task_id"), F.concat(F.lit("who makes "), "p_name").alias("text")).distinct()
     return engine.observe(engine.build(files), names).select("task_id", "confidence", F.size("hits").alias("n_hits"), "tokens", "truncated")

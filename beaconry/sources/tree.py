@@ -83,15 +83,38 @@ def walk(root: str, ignore: tuple[str, ...] = (), gitignore: bool = True) -> lis
     return out
 
 
+SCANNED = "path string, content binary, length long, mtime_ms long"
+
+
 def scan(spark: SparkSession, root: str, **how) -> DataFrame:
-    """path, content, length, mtime_ms of a tree's files; names come from walk(), bytes from Spark's binary reader."""
+    """path, content, length, mtime_ms of a tree's files; names come from walk(), bytes from Spark's binary reader.
+
+    That reader passes over names that begin with a dot or an underscore (so also
+    __init__.py); those are read by tasks of their own, from the same tree.
+    """
     root = os.path.abspath(root)
-    paths = [os.path.join(root, p) for p in walk(root, **how)]
-    if not paths:
-        return spark.createDataFrame([], "path string, content binary, length long, mtime_ms long")
-    df = spark.read.format("binaryFile").load(paths)
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{re.escape(root)}/", "")
-    return df.select(rel.alias("path"), "content", "length", F.unix_millis("modificationTime").alias("mtime_ms"))
+    names = walk(root, **how)
+    skipped = [p for p in names if re.search(r"(^|/)[._]", p)]
+    seen = [os.path.join(root, p) for p in names if p not in set(skipped)]
+    out = spark.createDataFrame([], SCANNED)
+    if seen:
+        df = spark.read.format("binaryFile").load(seen)
+        rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{re.escape(root)}/", "")
+        out = df.select(rel.alias("path"), "content", "length", F.unix_millis("modificationTime").alias("mtime_ms"))
+    if skipped:
+
+        def read(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                for p in b["path"].to_pylist():
+                    full = os.path.join(root, p)
+                    with open(full, "rb") as f:
+                        data = f.read()
+                    yield pa.RecordBatch.from_pydict({"path": [p], "content": pa.array([data], pa.binary()), "length": [len(data)], "mtime_ms": [int(os.stat(full).st_mtime * 1000)]})
+
+        out = out.union(spark.createDataFrame([(p,) for p in skipped], "path string").mapInArrow(read, SCANNED))
+    return out
 
 
 def decode(files: DataFrame) -> DataFrame:
