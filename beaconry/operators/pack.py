@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from beaconry import rules
 
-PINNED = {"exact-name", "explicit-file", "recent-change"}
+PINNED = set("recent-change exact-name explicit-file".split())
 HIT = "id string, name string, kind string, file string, name_line int, sl int, el int, sig string, reason array<string>, conf string, score double, rank int"
 CAPSULE = "task_id {key}, query string, confidence string, handles array<string>, hits array<string>, dirs array<string>, files array<string>, entries array<string>, changed array<string>, unresolved array<string>, next array<string>, tokens long, truncated boolean, text string, json string"
 

@@ -182,6 +182,7 @@ def vector_store_prune(spark, d):
 
 # --- documents -----------------------------------------------------------------------------------------------------
 
+_QUOTE, _PLAIN, _ANY = "['\"]", "[^'\"]", "[^>]*"
 _BLOCK = "blockquote|article|section|header|footer|table|main|div|ul|ol|tr|p"
 
 
@@ -190,9 +191,9 @@ def _sql_markdown() -> str:
     steps += [(rf"(?is)<{t}[^>]*>.*?</{t}>", "") for t in ("iframe", "canvas", "svg", "template", "noscript", "style", "script")]
     steps += [
         (r"(?is)<pre\b[^>]*>\s*(.*?)\s*</pre>", "\n\n```\n\\1\n```\n\n"),
-        (r"""(?is)<a\b[^>]*href=["']\s*(?:javascript|data|vbscript):[^"']*["'][^>]*>(.*?)</a>""", r"\1"),
-        (r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>""", r"[\2](\1)"),
-        (r"""(?i)<img\b[^>]*alt=["']([^"']*)["'][^>]*>""", r"\1"),
+        (rf"(?is)<a\b{_ANY}href={_QUOTE}\s*(?:javascript|data|vbscript):{_PLAIN}*{_QUOTE}{_ANY}>(.*?)</a>", r"\1"),
+        (rf"(?is)<a\b{_ANY}href={_QUOTE}({_PLAIN}+){_QUOTE}{_ANY}>(.*?)</a>", r"[\2](\1)"),
+        (rf"(?i)<img\b{_ANY}alt={_QUOTE}({_PLAIN}*){_QUOTE}{_ANY}>", r"\1"),
         *((rf"(?i)<h{k}\b[^>]*>", f"\n\n{'#' * k} ") for k in range(1, 7)),
         (r"(?i)</h[1-6]>", "\n\n"), (r"(?i)<br\s*/?\s*>", "\n"), (r"(?i)<li\b[^>]*>", "\n- "), (rf"(?i)</(?:li|td|th|{_BLOCK})>", "\n"), (rf"(?i)<(?:{_BLOCK})\b[^>]*>", "\n"), ("<[^>]+>", ""),
         ("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"), ("\\r\\n?", "\n"), ("[ \\t]+\\n", "\n"), ("\\n{3,}", "\n\n"), ("^\\s+|\\s+$", ""),

@@ -22,12 +22,13 @@ TEST_INTENT = r"(?i)(^|[\s\"-])(fix|bug|spec|test|broken|regress|failing|fails?)
 HISTORY_INTENT = r"(?i)\b(history|introduced(?: by)?|regression|co-?changed|when did|why did)\b"
 DOC_INTENT = r"(?i)(docs?|documentation|manual|guide|readme|tutorial|reference)"
 SEMANTIC_DOC_INTENT = r"(?i)\b(guide|manual|readme|spec(?:ification)?|api reference|doc(?:umentation|s)?)\b"
+_THE = r"(?:the\s+|)"
 NEGATIVE = {
-    "tests": r"(?i)(?:ignore|excluding|without|not|no)\s+(?:the\s+)?(?:unit\s+)?tests?",
+    "tests": rf"(?i)(?:ignore|excluding|without|not|no)\s+{_THE}(?:unit\s+|)tests?",
     "production": r"(?i)\bproduction\b",
-    "legacy": r"(?i)without\s+(?:the\s+)?legacy",
-    "only_config": r"(?i)\bonly\s+(?:the\s+)?config",
-    "under": r"(?i)\bunder\s+([a-zA-Z0-9_./-]+)",
+    "legacy": rf"(?i)without\s+{_THE}legacy",
+    "only_config": rf"(?i)\bonly\s+{_THE}config",
+    "under": r"(?i)\bunder\s+([-./\w]+)",
 }
 
 #: base form -> the irregular forms that stemming misses
@@ -79,15 +80,15 @@ ENTRY_FUNCTIONS = {k: r"^main$" for k in ENTRY_FILES} | {"ts": r"^(start|server|
 ENTRY_CLASSES = {"ts": r"Server|^App$", "js": r"Server|^App$", "java": r"^(App|Application|Main)$", "cs": r"^(App|Program)$", "kt": r"^(Application|App|Main)$", "scala": r"^(App|Main)$"}
 CONFIG_KINDS = {k: ("const",) if k in ("go", "rs", "c", "cpp", "cs") else ("type", "const") if k in ("ts", "js") else ("var", "const") for k in ENTRY_FILES}
 
-PROSE = _set("md mdx markdown txt rst adoc html htm")
-CONVERTIBLE = _set("doc docx docm dot dotx odt rtf pptx ppt pptm odp xls xlsx xlsm ods epub pdf")
+PROSE = _set("adoc htm html log markdown md rst txt")
+CONVERTIBLE = _set("epub odp ods odt pdf rtf doc docx docm pot pps ppt pptx pptm ppsx ppsm xls xlsb xlsx xlsm")
 DEFAULT_IGNORES = ("*.lock", ".DS_Store", ".cache", ".next", "coverage", "target", "build", "dist", "node_modules", ".git")
 
 _Q = "[\"']"
 _NAME = "([A-Z][A-Z0-9_]+)"
 ENV_PATTERNS = (
     rf"process\.env\.{_NAME}", rf"process\.env\[{_Q}{_NAME}{_Q}\]", rf"os\.Getenv\({_Q}{_NAME}{_Q}\)", rf"os\.getenv\({_Q}{_NAME}{_Q}\)",
-    rf"os\.environ(?:\.get|\[)\(?{_Q}{_NAME}", rf"ENV\[{_Q}{_NAME}{_Q}\]", rf"getenv\({_Q}{_NAME}{_Q}\)", rf"std::env::var\({_Q}{_NAME}{_Q}\)",
+    rf"os\.environ(?:\[|\.get)[(]?{_Q}{_NAME}", rf"ENV\[{_Q}{_NAME}{_Q}\]", rf"getenv\({_Q}{_NAME}{_Q}\)", rf"std::env::var\({_Q}{_NAME}{_Q}\)",
 )
 _KEY = "([a-z0-9_.-]+)"
 CONFIG_PATTERNS = (rf"config\.get\({_Q}{_KEY}{_Q}\)", rf"getConfig\({_Q}{_KEY}{_Q}\)", rf"config\[{_Q}{_KEY}{_Q}\]")
