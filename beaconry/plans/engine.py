@@ -82,3 +82,45 @@ def observe(c: Corpus, tasks: DataFrame, budget: int = 1200, changed: DataFrame
     top = graph.rank_dirs(cards, hits).select("task_id", "k", graph.render_card().alias("card"))
     told = None if changed is None else tasks.select("task_id").crossJoin(changed.select("file").orderBy("file").limit(8))
     return pack.capsules(tasks, hits, gate, top, told, rank.unresolved_terms(tasks, hits), seen, budget)
+
+
+@dataclass
+class Config:
+    """What a session sets once."""
+
+    budget: int = 1200
+    hook_budget: int = 600
+    map_budget: int = 400
+    depth: int = 3
+    semantic: bool = False
+    model: str = ""
+
+
+def expand(c: Corpus, handles: DataFrame) -> DataFrame:
+    """task_id, file, from, to, lines of "file:line" handles (task_id, handle): two lines more on both sides; a document gives its section."""
+    at = handles.select("task_id", tree.handle(F.col("handle")).alias("h")).select("task_id", "h.file", F.col("h.line").alias("sl"), F.col("h.line").alias("el")).filter("file <> '' AND sl IS NOT NULL")
+    secs = c.sections.select("file", F.col("line").alias("lo"), F.col("end_line").alias("hi"), "text")
+    doc = at.join(secs, "file").filter("lo <= sl AND sl <= hi").groupBy("task_id", "file", "sl").agg(F.min_by(F.struct("lo", "hi", "text"), "lo").alias("s"))
+    doc = doc.select("task_id", "file", F.col("s.lo").alias("from"), F.col("s.hi").alias("to"), F.split("s.text", "\n").alias("lines"))
+    code = tree.read_lines(c.files, at.join(c.docs.select("file"), "file", "left_anti"))
+    return code.unionByName(doc)
+
+
+def read(c: Corpus, wanted: DataFrame) -> DataFrame:
+    """file, text: a document's extracted text, else the file's own."""
+    own = c.files.select(F.col("path").alias("file"), F.col("text").alias("raw")).join(wanted.select("file").distinct(), "file", "left_semi")
+    return own.join(c.docs.select("file", F.col("text").alias("doc")), "file", "left").select("file", F.coalesce("doc", "raw").alias("text"))
+
+
+def related(c: Corpus, names: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(trails, impact) of symbols given by id or by a name that only one symbol has: names has task_id, name."""
+    found = written(graph.find_symbol(c.symbols, names).filter("NOT ambiguous").select("task_id", "id"), "found")
+    return graph.follow(c.edges, found, depth), graph.impact(c.edges, c.symbols, found, c.links)
+
+
+def counted(df: DataFrame, name: str):
+    """(df, metrics): how many rows pass, and how many tasks were answered in part, without another pass; read metrics.get after an action."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(F.col("truncated").cast("long")).alias("truncated"), F.sum("tokens").alias("tokens")), seen

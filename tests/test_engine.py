@@ -356,3 +356,15 @@ def test_against_duckdb(spark, sf, name):
     df = registry.QUERIES[name](spark, sf)
     assert sorted(df.columns) == sorted(cols)
     assert sorted(tuple(str(x) for x in r) for r in df.select(*sorted(df.columns)).collect()) == want
+
+
+def test_navigation_of_a_corpus(spark):
+    rows = [("a.py", "def one():\n    return two()\n\n\ndef two():\n    return 2\n"), ("g.md", "# Guide\nUse the function one to begin, then read on about two.\n")]
+    c = engine.build(spark.createDataFrame([(p, bytearray(t.encode())) for p, t in rows], "path string, content binary"))
+    got = {r.file: (r["from"], r["to"]) for r in engine.expand(c, spark.createDataFrame([(1, "a.py:2"), (2, "g.md:2"), (3, "nothing")], "task_id int, handle string")).collect()}
+    assert got == {"a.py": (1, 4), "g.md": (1, 2)}
+    assert engine.read(c, spark.createDataFrame([("g.md",)], "file string")).first().text.startswith("# Guide")
+    trails, found = engine.related(c, spark.createDataFrame([(1, "two")], "task_id int, name string"))
+    assert [r.path for r in trails.collect()] == [["a.py::two::5", "a.py::one::1"]] and {(r.role, r.other_name) for r in found.filter("role = 'caller'").collect()} == {("caller", "one")}
+    df, seen = engine.counted(engine.observe(c, spark.createDataFrame([("x", "two")], "task_id string, text string")), "capsules")
+    assert df.count() == 1 and seen.get["rows"] == 1
