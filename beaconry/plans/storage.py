@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,10 @@ def shared(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all executors share; a folder of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="beaconry-")
+        found = spark.sparkContext.getCheckpointDir()
+        if not found:
+            found = tempfile.mkdtemp(prefix="beaconry-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
