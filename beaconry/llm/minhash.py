@@ -9,12 +9,16 @@
    pair shares no band with probability 0.0018, at 0.9 with 0.000006.
 3. Equal texts are one node. In each bucket (nodes with an equal band) the node
    with the smallest id leads; only (leader, member) pairs are verified, by the
-   exact weighted Jaccard similarity of the whole bags. Members that fail elect
-   a leader again until none is left, so a bucket of n like copies costs n - 1
-   pairs, not n * n / 2.
+   exact weighted Jaccard similarity of the whole bags, so a bucket of n like
+   copies costs n - 1 pairs, not n * n / 2. Members that fail are bucketed anew
+   by shingles, those that the fewest of them have first: of the shingles that
+   leave less than 0.8 of a bag's weight behind them, two similar bags must share
+   one (prefix filtering). Bags that only have a common passage share none and
+   don't meet. There four times as many lead in each round, until no bucket is
+   left.
 4. No link is lost that way: 1 - similarity is a metric, so a failed member x of
    leader l can be linked to an accepted member y of l only where
-   sim(x, l) >= 0.6 and d(y, l) >= d(x, l) - 0.2. Those pairs are verified too,
+   sim(x, l) >= 0.6 and d(y, l) >= d(x, l) - 0.2 (so never where y equals l). Those pairs are verified too,
    if their nodes are not in one class anyway.
 5. Classes are the connected components (large star, small star); the smallest
    doc_id names a class and stays.
@@ -38,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from beaconry.llm.common import forget, materialise, whole
 
@@ -194,6 +199,27 @@ def verify(pairs: DataFrame, bag: DataFrame, idf: np.ndarray) -> DataFrame:
     return both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long, sim double")
 
 
+def prefixes(nodes: DataFrame, bag: DataFrame, idf: np.ndarray, similar: float = SIMILAR) -> DataFrame:
+    """node, band: a key for each shingle of the node's prefix that another of the nodes has too.
+
+    Shingles are ordered by how many of the nodes have them, the rarest first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, x in zip(b["node"].to_pylist(), b["bag"]):
+                f, n = np.unique(np.frombuffer(x.as_py(), np.uint32), return_counts=True)
+                w = n * idf[f & (len(idf) - 1)].astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), node)), pa.array(f.astype(np.int64)), pa.array(w)], ["node", "f", "w"])
+
+    rows = materialise(bag.join(nodes, "node", "left_semi").select("node", "bag").mapInArrow(run, "node long, f long, w double"), "shingles")
+    held = rows.groupBy("f").agg(F.count("*").alias("held")).filter("held > 1")
+    own = Window.partitionBy("node")
+    rest = F.sum("w").over(own.orderBy("held", "f").rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.join(held, "f", "left").withColumn("held", F.coalesce("held", F.lit(1))).withColumn("rest", rest).withColumn("all", F.sum("w").over(own))
+    return rows.filter((F.col("held") > 1) & (F.col("rest") >= F.col("all") * (similar * (1 - 1e-9)))).select("node", F.col("f").alias("band"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node of its component) from edges (a, b), by alternating large and small stars."""
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -220,29 +246,38 @@ def near_links(docs: DataFrame, marks: DataFrame, idf: np.ndarray, similar: floa
     lead = marks.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     members = materialise(marks.join(lead, "band").select("band", "node"), "members")
     bag = materialise(bag_table(docs, members.select("node").distinct(), size), "bags")
-    active, told = members, None
+    active, told, leaders = members, None, 1
     far, loose = 1 - similar, 1 - 2 * (1 - similar)
     while True:
-        lead = active.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
-        pairs = materialise(active.join(lead, "band").filter("node <> a").select("band", "a", F.col("node").alias("b")), "pairs")
+        # Leaders of a bucket: its smallest nodes, four times as many in each round.
+        order = Window.partitionBy("band").orderBy("node")
+        lead = active.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= leaders).select("band", F.col("node").alias("a"))
+        met = active.join(lead, "band").filter("node > a")
+        pairs = materialise(met.select("a", F.col("node").alias("b")).distinct(), "pairs")  # once, however many buckets they meet in
         if pairs.isEmpty():
             break
-        sims = verify(pairs.select("a", "b").distinct(), bag, idf)
-        judged = materialise(pairs.join(sims, ["a", "b"]), "judged")
-        told = judged if told is None else told.union(judged)
-        active = judged.filter(F.col("sim") < similar).select("band", F.col("b").alias("node"))
+        sims = materialise(verify(pairs, bag, idf), "judged")
+        told = sims if told is None else told.union(sims)
+        judged = met.join(sims.withColumnRenamed("b", "node"), ["a", "node"])
+        active = judged.groupBy("band", "node").agg(F.max("sim").alias("best")).filter(F.col("best") < similar).select("band", "node")
+        active = active.join(lead.select("band", F.col("a").alias("node")), ["band", "node"], "left_anti")
+        if leaders == 1:
+            active = prefixes(active.select("node").distinct(), bag, idf, similar)
+        active = materialise(active, "active")
+        leaders *= 4
     if told is None:
         return members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    links = told.filter(F.col("sim") >= similar).select("a", "b").distinct()
-    doubtful = told.filter((F.col("sim") < similar) & (F.col("sim") >= loose)).select("band", "a", F.col("b").alias("x"), (1 - F.col("sim")).alias("dx"))
+    told = materialise(told.groupBy("a", "b").agg(F.max("sim").alias("sim")), "told")
+    links = told.filter(F.col("sim") >= similar).select("a", "b")
+    doubtful = told.filter((F.col("sim") < similar) & (F.col("sim") >= loose)).select("a", F.col("b").alias("x"), (1 - F.col("sim")).alias("dx"))
     if doubtful.isEmpty():
         return links
     root = materialise(components(links), "roots")
     named = lambda df, c: df.join(root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-    # Balls whose failed members are in their leader's class by now need no more.
-    doubtful = named(named(doubtful, "a"), "x").filter("ra <> rx").select("band", "a", "x", "dx")
-    near = told.filter(F.col("sim") >= similar).select("band", "a", F.col("b").alias("y"), (1 - F.col("sim")).alias("dy"))
-    cross = doubtful.join(near, ["band", "a"]).filter(F.col("dy") >= F.col("dx") - far - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    # Members that are in their leader's class by now need no more; neither do members y that the bound rules out.
+    doubtful = named(named(doubtful, "a"), "x").filter("ra <> rx").select("a", "x", "dx")
+    near = told.filter(F.col("sim") >= similar).select("a", F.col("b").alias("y"), (1 - F.col("sim")).alias("dy")).filter(F.col("dy") >= 1e-9)
+    cross = doubtful.join(near, "a").filter(F.col("dy") >= F.col("dx") - far - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     more = verify(materialise(cross, "cross"), bag, idf).filter(F.col("sim") >= similar).select("a", "b")
     return links.union(more)
 
