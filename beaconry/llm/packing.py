@@ -8,13 +8,16 @@ later) while its deficit covers them. So each window holds its sources in target
 proportions, and what a packet gives too much or too little is made up for in
 the next windows. The targets are the sources' shares of all ids.
 
-The stream is laid out in epochs of about `epoch` ids, to which documents are
-dealt by a hash of their id. Totals by epoch and source give, with two windows
-over a table of one row per (epoch, source), where each epoch begins in the
-stream and the deficits that the epochs before it leave to it; then all epochs
-are packed at the same time, and windows run on across their borders. A source
-that is a third of all rows is spread over all epochs, and a task holds one
-epoch's ids, whatever the input's size.
+The stream is laid out in epochs of about `epoch` ids. A source's documents are
+put in an order by a hash of their id, and an epoch takes the same part of every
+source's ids: borders are multiples of `grain` in each source's own count, and a
+document that lies across one is split. So every epoch holds the target shares,
+less than a packet of a source is carried over a border, however many epochs
+there are, and all epochs are packed at the same time. Places in a source come
+from running sums within buckets of the hash and over a table of one row per
+(source, bucket). Only lengths are dealt out; the ids meet their pieces in one
+join. A source that is a third of all rows is spread over all buckets and epochs,
+and a task holds one epoch's lengths, whatever the input's size.
 
 Defined results: a document's ids are followed by the id `end`; a null or empty
 text is that id alone; a null source is a queue of its own; rows that repeat an
@@ -37,6 +40,7 @@ from beaconry.llm.common import materialise, whole
 
 WINDOW, GRAIN, EPOCH, END = 2048, 256, 1 << 22, 1
 STEP = 256
+BUCKETS = 8  # of the hash, for each epoch
 
 
 def tokenise(docs: DataFrame, path: str, end: int = END, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -103,40 +107,75 @@ def schedule(rows: list[tuple[str, int]], share: dict[str, float], carry: dict[s
     return pieces
 
 
+PLACES = "row long, start long, length long, place long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
 
 
-def _pack(window: int, grain: int):
-    def run(docs: pa.Table, plan: pa.Table) -> pa.Table:
-        docs = docs.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("n", "ascending"), ("ids", "ascending")])
-        queue, n = docs["queue"].to_pylist(), docs["n"].to_pylist()
-        names = plan["queue"].to_pylist()
-        pieces = schedule(list(zip(queue, n)), dict(zip(names, plan["share"].to_pylist())), dict(zip(names, plan["carry"].to_pylist())), plan["base"][0].as_py(), window, grain)
-        wide = [np.frombuffer(x.as_py(), "<u2").astype("<u4") for x in docs["ids"]]
-        out = np.array(pieces, np.int64).reshape(-1, 4)
-        crc = [zlib.crc32(wide[i][s : s + m]) for i, s, m, _ in pieces]
-        of = pa.array(out[:, 0])
-        return pa.table(
-            {
-                "doc_id": docs["doc_id"].take(of), "start": out[:, 1], "length": out[:, 2], "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": docs["n"].take(of),
-                "sequence_id": out[:, 3] // window, "offset": out[:, 3] % window, "queue": docs["queue"].take(of),
-            }
-        )
+def _deal(window: int, grain: int):
+    def run(parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by([("queue", "ascending"), ("at", "ascending")])
+        queue, n = parts["queue"].to_pylist(), parts["n"].to_pylist()
+        share, carry = dict(zip(queue, parts["share"].to_pylist())), dict(zip(queue, parts["carry"].to_pylist()))
+        pieces = np.array(schedule(list(zip(queue, n)), share, carry, parts["base"][0].as_py(), window, grain), np.int64).reshape(-1, 4)
+        of = pa.array(pieces[:, 0])
+        return pa.table({"row": parts["row"].take(of), "start": parts["start"].take(of).to_numpy() + pieces[:, 1], "length": pieces[:, 2], "place": pieces[:, 3]})
 
     return run
 
 
+def _cut(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for a in range(0, whole_batch.num_rows, STEP):
+                b = whole_batch.slice(a, STEP)
+                of, out, crc = [], [], []
+                for i, (ids, pieces) in enumerate(zip(b["ids"], b["pieces"].to_pylist())):
+                    wide = np.frombuffer(ids.as_py(), "<u2").astype("<u4")
+                    for p in pieces:
+                        of.append(i)
+                        out.append((p["start"], p["length"], p["place"]))
+                        crc.append(zlib.crc32(wide[p["start"] : p["start"] + p["length"]]))
+                cut, of = np.array(out, np.int64).reshape(-1, 3), pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": b["doc_id"].take(of), "start": cut[:, 0], "length": cut[:, 1], "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": b["n"].take(of),
+                        "sequence_id": cut[:, 2] // window, "offset": cut[:, 2] % window, "queue": b["queue"].take(of),
+                    }
+                )
+
+    return run
+
+
+def epoch_parts(tokens: DataFrame, total: int, epoch: int = EPOCH, grain: int = GRAIN) -> DataFrame:
+    """row, epoch, queue, at, start, n, share, carry, base: the part of each document (row, doc_id, queue, h, d, n) that each epoch holds.
+
+    A source of t ids gives epoch e of m the ids from floor(t e / m g) g on, where
+    g is `grain`. at: place in the source; carry: the deficit that earlier epochs
+    leave; base: where the epoch begins in the stream.
+    """
+    m, g = -(-total // epoch), F.lit(grain)
+    rows = tokens.select("row", "doc_id", "queue", "h", "d", "n", F.pmod("h", F.lit(m * BUCKETS)).alias("bucket"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = materialise(rows.groupBy("queue", "bucket").agg(F.sum("n").alias("own")), "packing-buckets")  # a row for each bucket and source
+    own = by.select("queue", "bucket", before("own", Window.partitionBy("queue").orderBy("bucket")).alias("ahead")).join(by.groupBy("queue").agg(F.sum("own").alias("t")), "queue")
+    rows = rows.withColumn("at", before("n", Window.partitionBy("queue", "bucket").orderBy("h", "doc_id", "n", "d", "row")))
+    rows = rows.join(own, ["queue", "bucket"]).withColumn("at", F.col("at") + F.col("ahead"))
+    t, at, end = F.col("t"), F.col("at"), F.col("at") + F.col("n")
+    div = lambda a, b: F.call_function("div", a, b)
+    of = lambda k: F.least(F.lit(m - 1).cast("long"), div((k + 1) * g * m - 1, t))  # the epoch of a source's k-th packet
+    border = lambda e: F.when(e == m, t).otherwise(div(t * e, g * m) * g)
+    rows = rows.withColumn("epoch", F.explode(F.array_distinct(F.transform(F.sequence(div(at, g), div(end - 1, g)), of))))
+    e = F.col("epoch")
+    rows = rows.withColumn("start", F.greatest(F.lit(0), border(e) - at)).withColumn("n", F.least(F.col("n"), border(e + 1) - at) - F.col("start"))
+    rows = materialise(rows.select("row", "epoch", "queue", (at + F.col("start")).alias("at"), "start", "n", "t", border(e).alias("sent")), "packing-parts")
+    base = rows.groupBy("epoch").agg(F.sum("n").alias("own")).select("epoch", before("own", Window.orderBy("epoch")).alias("base"))
+    return rows.join(base, "epoch").withColumn("share", t / F.lit(total)).withColumn("carry", F.col("share") * F.col("base") - F.col("sent")).drop("t", "sent")
+
+
 def pack(tokens: DataFrame, window: int = WINDOW, grain: int = GRAIN, epoch: int = EPOCH) -> DataFrame:
     """The pieces of all rows of tokenise()."""
-    tokens = materialise(tokens, "tokens")
+    tokens = materialise(tokens.withColumn("d", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id()), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 1
-    epochs = -(-total // epoch)
-    tokens = tokens.withColumn("epoch", F.pmod("h", F.lit(epochs)))
-    by = tokens.groupBy("epoch", "queue").agg(F.sum("n").alias("own"))
-    before = lambda w: F.coalesce(F.sum("own").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = by.groupBy("epoch").agg(F.sum("own").alias("own")).select("epoch", before(Window.orderBy("epoch")).alias("base"))
-    share = by.groupBy("queue").agg((F.sum("own") / F.lit(total)).alias("share"))
-    sent = by.select("epoch", "queue", before(Window.partitionBy("queue").orderBy("epoch")).alias("sent"))
-    plan = sent.join(base, "epoch").join(share, "queue").select("epoch", "queue", "base", "share", (F.col("share") * F.col("base") - F.col("sent")).alias("carry"))
-    plan = materialise(plan, "packing-plan")  # a row for each epoch and source
-    return tokens.groupBy("epoch").cogroup(plan.groupBy("epoch")).applyInArrow(_pack(window, grain), PIECES)
+    places = epoch_parts(tokens, total, epoch, grain).groupBy("epoch").applyInArrow(_deal(window, grain), PLACES)
+    places = places.groupBy("row").agg(F.collect_list(F.struct("start", "length", "place")).alias("pieces"))
+    return tokens.select("row", "doc_id", "queue", "n", "ids").join(places, "row").select("doc_id", "queue", "n", "ids", "pieces").mapInArrow(_cut(window), PIECES)

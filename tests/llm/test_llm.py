@@ -224,6 +224,21 @@ def test_deficit_round_robin_keeps_proportions():
             assert abs(total[q] - share[q] * 2048 * (w + 1)) <= 256 + 2048 * share[q]
 
 
+def test_every_epoch_holds_the_target_shares(spark):
+    """Many epochs and a source with half of the ids: no window is one source's, and no source drifts from its share."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "=hot" if i % 2 else f"=s{i % 8}", int(rng.integers(1, 2 if i % 5 else 900))) for i in range(12_000)]
+    tokens = spark.createDataFrame(rows, "doc_id long, queue string, n long").selectExpr("doc_id", "queue", "xxhash64(doc_id) h", "n", "unhex(repeat('0100', int(n))) ids")
+    p = packing.pack(tokens, epoch=1 << 15).toPandas()
+    total = p.length.sum()
+    assert total == sum(n for _, _, n in rows) and total > 30 << 15
+    share = p.groupby("queue").length.sum() / total
+    held = p.pivot_table(index="sequence_id", columns="queue", values="length", aggfunc="sum", fill_value=0)
+    assert held.iloc[:-1].max(axis=1).max() < 0.9 * 2048
+    drift = (held.cumsum() - np.outer(np.minimum((held.index.values + 1) * 2048, total), share[held.columns].values)).abs()
+    assert (drift.max() <= 3 * 256 + 2048 * share).all()
+
+
 def test_packing_no_rows(none):
     assert packing.pack(packing.tokenise(none, vocabulary("word_bpe_49k.json"))).count() == 0
 
