@@ -85,6 +85,26 @@ def test_doc_links(spark):
     assert got == {(0, "path", "src/store.go"), (0, "symbol", "src/store.go::StoreSession::3")}
 
 
+def test_all_documents_get_links(spark):
+    secs = spark.createDataFrame([(f"d{i:03}.md", 0, "uses Store1 Store2") for i in range(100)], "file string, sec_idx int, text string")
+    s = spark.createDataFrame([sym(f"a::Store{k}", "a.go", f"Store{k}", seq=k) for k in (1, 2)], SYMBOL)
+    assert {(r.doc, r.target) for r in docs.code_links(secs, s).collect()} == {(f"d{i:03}.md", f"a::Store{k}") for i in range(100) for k in (1, 2)}
+    assert [(r.doc, r.mention) for r in docs.code_links(secs, s, total=3).collect()] == [("d000.md", "Store1"), ("d000.md", "Store2"), ("d001.md", "Store1")]
+
+
+def test_all_artifacts_are_found(spark):
+    files = spark.createDataFrame([("a.py", "".join(f'os.getenv("KEY_{i}")\n' for i in range(300)))], "path string, text string")
+    assert extract.artifacts(files).count() == 300 and [r.name for r in extract.artifacts(files, most=2).collect()] == ["KEY_0", "KEY_1"]
+
+
+def test_a_corpus_keeps_all_links_and_artifacts(spark):
+    rows = [("a.py", "import os\n\ndef begin_all():\n    return [" + "".join(f'\n        os.getenv("KEY_{i}"),' for i in range(250)) + "\n    ]\n")]
+    rows += [(f"d{i:02}.md", "# Guide\nCall the function begin_all first, as every one of these documents says.\n") for i in range(80)]
+    c = engine.build(spark.createDataFrame([(p, bytearray(t.encode())) for p, t in rows], "path string, content binary"))
+    assert c.links.filter("mention = 'begin_all'").select("doc").distinct().count() == 80
+    assert c.symbols.filter("kind = 'config'").count() == 250
+
+
 def test_line_extractor(spark):
     go = 'package main\n\nimport "fmt"\n// Put stores\n// a value.\nfunc Put(k string) error {\n\treturn nil\n}\ntype Store = int\nconst Limit = 3\nclass Box:\nif x {\n'
     s, i = extract.by_lines(spark.createDataFrame([("cmd/main.go", go)], "path string, text string"))
