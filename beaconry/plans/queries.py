@@ -396,6 +396,24 @@ def relation_reason(spark, d):
     return rank.relation_reasons(s, e, _symbols(spark, d)).select("id", "reason")
 
 
+def _seeds(spark, d):
+    """Every part, with its brand as the task."""
+    return _t(spark, d, "part").select(F.col("p_brand").alias("task_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_size") / 10.0).alias("base"), F.col("p_partkey").alias("seed_seq"))
+
+
+@query()
+def propagate_2hop_all(spark, d):
+    e = _edges(spark, d).select("src", "dst", "name", "kind")
+    g = e.select("src", "dst", "kind").union(e.filter("name = 'R'").select("src", "dst").distinct().select(F.col("dst"), F.col("src"), F.lit("ref")))
+    return rank.propagate(_seeds(spark, d).drop("seed_seq"), g).select("task_id", "id", F.round("added", 6).alias("added"))
+
+
+@query()
+def relation_reason_all(spark, d):
+    e = _edges(spark, d).select("src", "dst", "kind").distinct().withColumn("seq", F.when(F.col("kind") == "call", 0).otherwise(1))
+    return rank.relation_reasons(_seeds(spark, d), e, _symbols(spark, d)).select("task_id", "id", "reason")
+
+
 @query(f"""WITH e AS ({EDGES}), g AS (SELECT DISTINCT src AS a, dst AS b FROM e WHERE kind = 'call' UNION SELECT DISTINCT dst, src FROM e WHERE kind = 'call'), h1 AS (SELECT b AS node FROM g WHERE a = 's1' ),
     h2 AS (SELECT DISTINCT g.b AS node FROM h1 JOIN g ON g.a = h1.node WHERE g.b <> 's1' AND g.b NOT IN (SELECT node FROM h1))
     SELECT node, 1 AS hop FROM h1 UNION ALL SELECT node, 2 FROM h2""")

@@ -2,6 +2,7 @@
 
 import json
 import sqlite3
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +223,46 @@ def test_lexical_score_and_relations(spark):
     assert {(r.task_id, r.term) for r in rank.unresolved_terms(tasks, hits).collect() if r.task_id == "x"} == {("x", "zebra")}
 
 
+def facts(spark, sf):
+    """Parts (id: brand, base, number, name) and distinct line items (src, dst, name, kind)."""
+    parts = {f"p{r.p_partkey}": (r.p_brand, r.p_size / 10.0, r.p_partkey, r.p_name) for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").collect()
+    return parts, {(f"p{r.l_partkey}", f"s{r.l_suppkey}", r.l_returnflag, "call" if r.l_linestatus == "F" else "ref") for r in lines}
+
+
+def test_every_part_is_a_seed(spark, sf):
+    parts, edges = facts(spark, sf)
+    weight = {"call": 0.8, "ref": 0.3}
+    g = [(s, t, weight[k]) for s, t, _, k in edges] + [(t, s, 0.3) for s, t in {(s, t) for s, t, n, _ in edges if n == "R"}]
+    out = defaultdict(list)
+    for s, t, w in g:
+        out[s].append((t, w))
+    want = defaultdict(float)
+    for seed, (brand, base, _, _) in parts.items():
+        for mid, w in out[seed] if base > 0 else []:
+            want[brand, mid] += base * w * 0.5
+            fan = max(1, len(out[mid]) - sum(t == seed for t, _ in out[mid]))
+            for t, w2 in out[mid]:
+                if t != seed:
+                    want[brand, t] += base * w * w2 * 0.15 / fan
+    got = {(r.task_id, r.id): r.added for r in registry.QUERIES["propagate_2hop_all"](spark, sf).collect()}
+    assert {b for b, _ in got} == {p[0] for p in parts.values()} and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_every_part_gives_reasons(spark, sf):
+    parts, edges = facts(spark, sf)
+    score, want = defaultdict(float), set()
+    for _, src, kind, dst in sorted({(parts[s][2], s, k, t) for s, t, _, k in edges}):
+        brand, base, _, name = parts[src]
+        x = base * {"call": 0.8, "ref": 0.3}[kind] * 0.5
+        if base > 0 and x > 0.1 * score[brand, dst]:
+            want.add((brand, dst, f"relation-to-{name}"))
+        score[brand, dst] += x
+    rows = registry.QUERIES["relation_reason_all"](spark, sf).collect()
+    assert len(rows) == len(want) and {(r.task_id, r.id, r.reason) for r in rows} == want
+
+
 def test_negative_scopes_and_changes(spark):
     s = spark.createDataFrame([sym("1", "src/a.py", "parse"), sym("2", "tests/a.py", "parse", test=True)], SYMBOL)
     e = spark.createDataFrame([], EDGE)
