@@ -2,9 +2,11 @@
 
 All token ids of all documents form one stream, cut into windows (sequences) of
 `window` ids; only the last one is short. Deficit round-robin decides the order:
-in each round every source's deficit grows by its target share of a window, and
-the source sends packets (at most `grain` ids of a document, the rest of it
-later) while its deficit covers them. So each window holds its sources in target
+in each of `ROUNDS` rounds a window every source's deficit grows by its target share, and
+the source sends packets (ids of a document, the rest of it later) while its
+deficit covers them. A packet has at most `grain` ids and no more than a window's
+share of its source, but `LEAST` at least; sources that need more than a round
+for a packet begin at staggered deficits, so that they don't send together. So each window holds its sources in target
 proportions, and what a packet gives too much or too little is made up for in
 the next windows. The targets are the sources' shares of all ids.
 
@@ -40,6 +42,7 @@ from beaconry.llm.common import materialise, whole
 
 WINDOW, GRAIN, EPOCH, END = 2048, 256, 1 << 22, 1
 STEP = 256
+LEAST, ROUNDS = 16, 4
 BUCKETS = 8  # of the hash, for each epoch
 
 
@@ -64,14 +67,23 @@ def tokenise(docs: DataFrame, path: str, end: int = END, key: str = "doc_id", so
     return rows.mapInArrow(run, "doc_id long, queue string, h long, n long, ids binary")
 
 
+def packet(share: float, window: int = WINDOW, grain: int = GRAIN) -> int:
+    """Most ids that a source sends at once."""
+    return max(1, min(grain, max(LEAST, int(share * window))))
+
+
 def schedule(rows: list[tuple[str, int]], share: dict[str, float], carry: dict[str, float], base: int, window: int = WINDOW, grain: int = GRAIN) -> list[list[int]]:
     """Pieces [row, start, length, place in the stream] of an epoch's documents (queue, ids), in the order given."""
     queues: dict[str, list[int]] = {}
     for i, (q, _) in enumerate(rows):
         queues.setdefault(q, []).append(i)
     names = sorted(queues)
-    quantum = {q: share[q] * window for q in names}
+    quantum = {q: share[q] * window / ROUNDS for q in names}
+    size = {q: packet(share[q], window, grain) for q in names}
+    rare = [q for q in names if quantum[q] < size[q]]
     deficit = {q: carry.get(q, 0.0) for q in names}
+    for k, q in enumerate(rare):
+        deficit[q] += size[q] * k / len(rare)
     head = {q: [0, 0] for q in names}  # document, ids of it that are sent
     pieces: list[list[int]] = []
     at = base
@@ -82,7 +94,7 @@ def schedule(rows: list[tuple[str, int]], share: dict[str, float], carry: dict[s
             left = deficit[q] + quantum[q]
             while k < len(own):
                 i = own[k]
-                n = min(grain, rows[i][1] - done)
+                n = min(size[q], rows[i][1] - done)
                 if left < n:
                     break
                 left -= n
@@ -100,7 +112,7 @@ def schedule(rows: list[tuple[str, int]], share: dict[str, float], carry: dict[s
         if sent:
             names = [q for q in names if head[q][0] < len(queues[q])]
         else:  # no packet is covered yet: as many rounds at once as the first one needs
-            need = lambda q: (min(grain, rows[queues[q][head[q][0]]][1] - head[q][1]) - deficit[q]) / quantum[q]
+            need = lambda q: (min(size[q], rows[queues[q][head[q][0]]][1] - head[q][1]) - deficit[q]) / quantum[q]
             rounds = max(0, int(min(map(need, names))) - 1)
             for q in names:
                 deficit[q] += rounds * quantum[q]

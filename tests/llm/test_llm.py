@@ -239,6 +239,31 @@ def test_every_epoch_holds_the_target_shares(spark):
     assert (drift.max() <= 3 * 256 + 2048 * share).all()
 
 
+@pytest.mark.parametrize("hot", (1 / 20, 1 / 3))
+def test_each_window_is_near_the_target_with_twenty_sources(hot):
+    names = [f"s{i:02}" for i in range(20)]
+    share = {q: hot if q == "s07" else (1 - hot) / 19 for q in names}
+    rows = [(q, 300) for q in names for _ in range(int(share[q] * 2000))]
+    pieces = packing.schedule(rows, share, {}, 0)
+    per = defaultdict(Counter)
+    for i, _, n, at in pieces:
+        per[at // 2048][rows[i][0]] += n
+    assert sum(n for _, _, n, _ in pieces) == 300 * len(rows)
+    for w in range(1, len(per) - 3):
+        assert len(per[w]) >= 16 and sum(abs(per[w][q] / 2048 - share[q]) for q in names) / 2 < 0.2
+
+
+def test_rare_sources_do_not_send_together():
+    names = [f"s{i:02}" for i in range(20)]
+    share = {"big": 0.96} | {q: 0.002 for q in names}
+    rows = [("big", 48_000)] * 20 + [(q, 100) for q in names for _ in range(20)]
+    per = defaultdict(Counter)
+    for i, _, n, at in packing.schedule(rows, share, {}, 0):
+        per[at // 2048][rows[i][0]] += n
+    for w in range(1, len(per) - 10):
+        assert abs(per[w]["big"] / 2048 - 0.96) < 0.04
+
+
 def test_packing_no_rows(none):
     assert packing.pack(packing.tokenise(none, vocabulary("word_bpe_49k.json"))).count() == 0
 
