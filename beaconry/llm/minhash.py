@@ -1,54 +1,84 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles.
 
-1. Every text becomes a bag of five-word shingles. Their document frequencies
-   over all documents are counted in 2**18 hashed buckets (HashingTF's default),
-   a table whose size doesn't depend on the input; weight = tf * idf(bucket).
+1. Every text becomes a bag of five-word shingles, weighted tf * idf with
+   idf = ln((N + 1) / (max(df, floor) + 1)) + 1 and floor = all shingles / SLOTS.
+   df is counted over all documents, exactly, for every shingle that reaches the
+   floor: at most SLOTS of them can, whatever the input's size. A summary with
+   a proven error (Misra-Gries, in each task) finds them, a second pass counts.
 2. Improved consistent weighted sampling draws ROWS * BANDS samples of every
    bag: two bags draw the same sample with a probability equal to their weighted
    Jaccard similarity. A band is the hash of ROWS samples. At similarity 0.8 a
    pair shares no band with probability 0.0018, at 0.9 with 0.000006.
 3. Equal texts are one node. In each bucket (nodes with an equal band) the node
-   with the smallest id leads; only (leader, member) pairs are verified, by the
-   exact weighted Jaccard similarity of the whole bags, so a bucket of n like
-   copies costs n - 1 pairs, not n * n / 2. Members that fail are bucketed anew
-   by shingles, those that the fewest of them have first: of the shingles that
-   leave less than 0.8 of a bag's weight behind them, two similar bags must share
-   one (prefix filtering). Bags that only have a common passage share none and
-   don't meet. There four times as many lead in each round, until no bucket is
-   left.
-4. No link is lost that way: 1 - similarity is a metric, so a failed member x of
-   leader l can be linked to an accepted member y of l only where
-   sim(x, l) >= 0.6 and d(y, l) >= d(x, l) - 0.2 (so never where y equals l). Those pairs are verified too,
-   if their nodes are not in one class anyway.
-5. Classes are the connected components (large star, small star); the smallest
+   with most company leads, and each (leader, member) pair is verified once by
+   the weighted Jaccard similarity of the whole bags, so a bucket of n like
+   copies costs n - 1 pairs. Members that pass are in the leader's class. No
+   link among the others is lost:
+
+   Let x and y be members of leader l, D(x, y) the sum of all differences of
+   weights, and W a bag's weight. Similar pairs have D(x, y) <= c (W(x) + W(y)),
+   c = far / (2 - far), far = 1 - SIMILAR. The deviations of x are what it has
+   beyond l and what it lacks of l; x and y share S of them, and
+   D(x, y) = D(x, l) + D(y, l) - 2 S. So if x failed, D(x, l) > c (W(x) + W(l)),
+   a link needs S >= D(y, l) / 2 - c (W(y) - W(l)) / 2: y shares nearly half of
+   its deviations with x. Ordered by how few have them, one shared deviation must
+   be among the first of both, those before which at least the needed weight
+   is left (prefix filtering).
+   - Both failed: nodes that share such a deviation are a new bucket with its own
+     leader, and so on until no bucket is left. From the fourth round on, four
+     times as many lead in each round.
+   - x failed and y passed: only where sim(x, l) >= 0.6 (1 - similarity is a
+     metric), and where at the deviation they share enough is left of both
+     (positional filtering). These pairs are verified too, if their nodes are not
+     in one class anyway.
+4. Classes are the connected components (large star, small star); the smallest
    doc_id names a class and stays.
 
-All per-document state lives in tables; the driver sees the idf table, counts
-and nothing else. A hot bucket or hot text meets only joins that adaptive
-execution can split, after partial aggregation.
+All per-document state lives in tables; the driver sees the table of frequent
+shingles, counts and nothing else. Leaders are found by partial aggregation;
+a hot bucket or text meets only joins that adaptive execution can split.
 
 Defined results: a null text counts as empty; texts without words are like only
 equal texts; a text of one to four words is one shingle; a row without doc_id
-is alone and has no class; rows that repeat an id are one document; an empty
-table gives no rows; other columns are ignored.
+is alone and has no class; rows that repeat an id are documents of their own,
+unless their texts are equal too (then all get the same result); an empty
+table gives no rows; other columns are ignored. Shingles are told apart by 48
+bits of a hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from beaconry.llm.common import forget, materialise, whole
 
 SIZE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
-BUCKETS = 1 << 18
+SLOTS = 1 << 18
 CHUNK_BYTES = 1 << 20
+NEAR = 1 - 1e-9  # room for rounding: bounds keep what they only just exclude
+SINGLE = 3  # rounds with one leader a bucket
+
+
+class Weights(NamedTuple):
+    """idf of the frequent shingles (ascending) and of all others."""
+
+    shingles: np.ndarray
+    idf: np.ndarray
+    rare: float
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.full(len(shingles), self.rare, np.float32)
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == shingles, self.idf[at], np.float32(self.rare)).astype(np.float32)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,25 +103,73 @@ def bags(texts: list[str], size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np
     return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), times
 
 
-def idf_table(docs: DataFrame, buckets: int = BUCKETS, size: int = SIZE) -> np.ndarray:
-    """ln((N + 1) / (df + 1)) + 1 by hashed bucket, from all documents."""
+def summary(parts: Iterator[np.ndarray], slots: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(item, count, all items): every count is too small by all items / (2 * slots) at most, and absent items count 0 (Misra and Gries)."""
+    items, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    held: list[np.ndarray] = []
+
+    def merge() -> None:
+        nonlocal items, counts, held
+        new, times = np.unique(np.concatenate(held), return_counts=True)
+        both, at = np.unique(np.concatenate([items, new]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, times]), len(both)).astype(np.int64)
+        items, held = both, []
+        if len(items) > 2 * slots:
+            counts -= np.partition(counts, len(counts) - 2 * slots - 1)[len(counts) - 2 * slots - 1]
+            items, counts = items[counts > 0], counts[counts > 0]
+
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        total += len(part)
+        if size > 4 * slots:
+            merge()
+            size = 0
+    if held:
+        merge()
+    return items, counts, total
+
+
+def weights(docs: DataFrame, size: int = SIZE, slots: int = SLOTS) -> Weights:
+    """idf of the shingles that make up 1 / slots of all or more, from all documents."""
+
+    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, counts, total = summary((bags(b["text"].to_pylist(), size)[1] for b in _chunks(batches)), slots)
+        some = counts * 4 * slots >= total
+        h, n = items[some].view(np.int64), counts[some]
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.int64())], ["h", "n"])
+        for a in range(0, len(h), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(h[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], ["h", "n"])
+
+    texts = docs.select(whole().alias("text"))
+    guessed = materialise(texts.mapInArrow(guess, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "shingle-guess")
+    total = guessed.filter("h = -1").agg(F.sum("n")).first()[0] or 0
+    # What a task may have missed (1 / 4) and what its counts may lack (1 / 2) leave a quarter: 4 * slots rows at most.
+    asked = guessed.filter("h <> -1").filter(F.col("n") * 4 * slots >= total).select("h").toArrow()
+    forget(guessed)
+    known = np.sort(asked["h"].to_numpy().astype(np.uint64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(buckets, np.int64)
+        found = np.zeros(len(known) + 1, np.int64)
         for b in _chunks(batches):
-            doc, sh, _ = bags(b["text"].to_pylist(), size)
-            found += np.bincount((sh & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-        at = np.flatnonzero(found)
+            sh = bags(b["text"].to_pylist(), size)[1]
+            at = np.minimum(np.searchsorted(known, sh), len(known) - 1)
+            found += np.bincount(np.where(known[at] == sh, at, len(known)), minlength=len(found))
+        at = np.flatnonzero(found[:-1])
         for a in range(0, len(at), 1 << 16):
             part = at[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(found[part], pa.int64())], ["bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(found[part])], ["at", "n"])
 
-    n = docs.count()
-    rows = docs.select(whole().alias("text")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = rows.toArrow()  # `buckets` rows at most
-    df = np.zeros(buckets)
-    df[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return (np.log((n + 1) / (np.minimum(df, n) + 1)) + 1).astype(np.float32)
+    n, floor = docs.count(), max(1.0, total / slots)
+    idf = lambda df: np.log((n + 1) / (np.maximum(df, floor) + 1)) + 1
+    if not len(known):
+        return Weights(known, np.zeros(0, np.float32), float(idf(floor)))
+    rows = texts.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    got = rows.filter(F.col("n") * slots >= total).toArrow()  # `slots` rows at most
+    at, df = got["at"].to_numpy(), got["n"].to_numpy()
+    order = np.argsort(at)
+    return Weights(known[at[order]], idf(df[order]).astype(np.float32), float(idf(floor)))
 
 
 @lru_cache(maxsize=1)
@@ -127,7 +205,7 @@ def samples(shingle: np.ndarray, weight: np.ndarray, first: np.ndarray, k: int)
     return out
 
 
-def band_keys(texts: list[str], idf: np.ndarray, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> list[np.ndarray | None]:
+def band_keys(texts: list[str], idf: Weights, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> list[np.ndarray | None]:
     """The 64-bit band keys of each text, None where it has no words."""
     from beaconry.llm.textvec import mix
 
@@ -136,8 +214,7 @@ def band_keys(texts: list[str], idf: np.ndarray, bands: int = BANDS, rows: int =
     if not len(doc):
         return out
     first = np.flatnonzero(np.diff(doc, prepend=-1))
-    weight = times * idf[(sh & np.uint64(len(idf) - 1)).astype(np.int64)]
-    got = samples(sh, weight, first, bands * rows)
+    got = samples(sh, times * idf.of(sh), first, bands * rows)
     keys = np.empty((bands, len(first)), np.uint64)
     for j in range(bands):
         x = np.full(len(first), j + 1, np.uint64)
@@ -149,75 +226,79 @@ def band_keys(texts: list[str], idf: np.ndarray, bands: int = BANDS, rows: int =
     return out
 
 
-def sketches(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, key: str = "doc_id") -> DataFrame:
-    """doc_id, digest, bands (empty where there are no words) of every row."""
+def _digest() -> Column:
+    return F.unhex(F.sha2(whole(), 256))
+
+
+def sketches(docs: DataFrame, idf: Weights, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
+    """row, doc_id, digest, bands (empty where there are no words) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
             keys = band_keys(b["text"].to_pylist(), idf, bands, rows, size)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["digest"], pa.array([[] if x is None else x for x in keys], pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+            keys = pa.array([[] if x is None else x for x in keys], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], b["digest"], keys], ["row", "doc_id", "digest", "bands"])
 
-    t = whole()
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.sha2(t, 256)).alias("digest"), t.alias("text")).mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), whole().alias("text"))
+    return source.mapInArrow(run, "row long, doc_id long, digest binary, bands array<long>")
 
 
-def bag_table(docs: DataFrame, ids: DataFrame, size: int = SIZE) -> DataFrame:
-    """node, bag (ascending 32-bit shingles, repeated as they occur) of the nodes in ids."""
+def bag_table(docs: DataFrame, nodes: DataFrame, idf: Weights, size: int = SIZE) -> DataFrame:
+    """node, h (ascending shingles, unsigned 64-bit), w (their weights, 32-bit floats) of the nodes (node, doc_id, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
             doc, sh, times = bags(b["text"].to_pylist(), size)
+            w = (times * idf.of(sh)).astype(np.float32)
             at = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            low = sh.astype(np.uint32)
-            bag = [np.sort(np.repeat(low[x:y], times[x:y])).tobytes() for x, y in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array(bag, pa.binary())], ["node", "bag"])
+            parts = list(zip(at, at[1:]))
+            h, w = ([x[p:q].tobytes() for p, q in parts] for x in (sh, w))
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(h, pa.binary()), pa.array(w, pa.binary())], ["node", "h", "w"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), whole().alias("text")).join(ids, "node", "left_semi")
-    return rows.mapInArrow(run, "node long, bag binary").dropDuplicates(["node"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), whole().alias("text")).join(nodes, ["doc_id", "digest"])
+    return rows.select("node", "text").mapInArrow(run, "node long, h binary, w binary").dropDuplicates(["node"])
 
 
-def similarity(a: bytes, b: bytes, idf: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two bags: sum of smaller weights over sum of larger weights."""
-    x, n = np.unique(np.frombuffer(a, np.uint32), return_counts=True)
-    y, m = np.unique(np.frombuffer(b, np.uint32), return_counts=True)
-    wx, wy = n * idf[x & (len(idf) - 1)].astype(float), m * idf[y & (len(idf) - 1)].astype(float)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = np.minimum(wx[i], wy[j]).sum()
-    return float(both / (wx.sum() + wy.sum() - both))
+Bag = tuple[np.ndarray, np.ndarray]
 
 
-def verify(pairs: DataFrame, bag: DataFrame, idf: np.ndarray) -> DataFrame:
-    """a, b, sim of the pairs (a, b)."""
+def compared(x: Bag, y: Bag) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted Jaccard similarity of two bags; x's deviations from y: keys (odd where x lacks something) and weights."""
+    (h, w), (g, v) = x, y
+    w, v = w.astype(float), v.astype(float)
+    _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
+    both = np.minimum(w[i], v[j])
+    common = both.sum()
+    sim = float(common / (w.sum() + v.sum() - common))
+    w[i] -= both
+    v[j] -= both
+    more, less = w > 0, v > 0
+    keys = np.concatenate([h[more] << np.uint64(1), (g[less] << np.uint64(1)) | np.uint64(1)])
+    return sim, keys.view(np.int64), np.concatenate([w[more], v[less]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sim = [similarity(x.as_py(), y.as_py(), idf) for x, y in zip(b["bag_a"], b["bag_b"])]
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(sim, pa.float64())], ["a", "b", "sim"])
-
-    with_a = pairs.join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
-    both = with_a.join(bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long, sim double")
 
+JUDGED = "a long, b long, sim double, wa double, wb double, d double, keys array<long>, devs array<double>"
 
-def prefixes(nodes: DataFrame, bag: DataFrame, idf: np.ndarray, similar: float = SIMILAR) -> DataFrame:
-    """node, band: a key for each shingle of the node's prefix that another of the nodes has too.
 
-    Shingles are ordered by how many of the nodes have them, the rarest first.
-    """
+def judge(pairs: DataFrame, bag: DataFrame) -> DataFrame:
+    """a, b, sim, weights of both bags, b's deviations from a (keys, devs; d is their sum) of the pairs (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for node, x in zip(b["node"].to_pylist(), b["bag"]):
-                f, n = np.unique(np.frombuffer(x.as_py(), np.uint32), return_counts=True)
-                w = n * idf[f & (len(idf) - 1)].astype(float)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), node)), pa.array(f.astype(np.int64)), pa.array(w)], ["node", "f", "w"])
-
-    rows = materialise(bag.join(nodes, "node", "left_semi").select("node", "bag").mapInArrow(run, "node long, f long, w double"), "shingles")
-    held = rows.groupBy("f").agg(F.count("*").alias("held")).filter("held > 1")
-    own = Window.partitionBy("node")
-    rest = F.sum("w").over(own.orderBy("held", "f").rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.join(held, "f", "left").withColumn("held", F.coalesce("held", F.lit(1))).withColumn("rest", rest).withColumn("all", F.sum("w").over(own))
-    return rows.filter((F.col("held") > 1) & (F.col("rest") >= F.col("all") * (similar * (1 - 1e-9)))).select("node", F.col("f").alias("band"))
+        read = lambda h, w: (np.frombuffer(h.as_py(), np.uint64), np.frombuffer(w.as_py(), np.float32))
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 256):
+                c = whole_batch.slice(at, 256)
+                out = []
+                for ha, wa, hb, wb in zip(c["ha"], c["wa"], c["hb"], c["wb"]):
+                    x, y = read(hb, wb), read(ha, wa)
+                    sim, keys, devs = compared(x, y)
+                    out.append((sim, float(y[1].astype(float).sum()), float(x[1].astype(float).sum()), float(devs.sum()), keys, devs))
+                sim, wa, wb, d, keys, devs = zip(*out)
+                columns = [pa.array(sim), pa.array(wa), pa.array(wb), pa.array(d), pa.array(keys, pa.list_(pa.int64())), pa.array(devs, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([c["a"], c["b"], *columns], ["a", "b", "sim", "wa", "wb", "d", "keys", "devs"])
+
+    sides = [bag.select(F.col("node").alias(s), F.col("h").alias(f"h{s}"), F.col("w").alias(f"w{s}")) for s in "ab"]
+    return pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, JUDGED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,56 +322,131 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
-def near_links(docs: DataFrame, marks: DataFrame, idf: np.ndarray, similar: float = SIMILAR, size: int = SIZE) -> DataFrame:
-    """Verified links (a, b) that connect the nodes of each class; marks: node, band."""
-    lead = marks.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    members = materialise(marks.join(lead, "band").select("band", "node"), "members")
-    bag = materialise(bag_table(docs, members.select("node").distinct(), size), "bags")
-    active, told, leaders = members, None, 1
-    far, loose = 1 - similar, 1 - 2 * (1 - similar)
-    while True:
-        # Leaders of a bucket: its smallest nodes, four times as many in each round.
-        order = Window.partitionBy("band").orderBy("node")
-        lead = active.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= leaders).select("band", F.col("node").alias("a"))
-        met = active.join(lead, "band").filter("node > a")
-        pairs = materialise(met.select("a", F.col("node").alias("b")).distinct(), "pairs")  # once, however many buckets they meet in
-        if pairs.isEmpty():
-            break
-        sims = materialise(verify(pairs, bag, idf), "judged")
-        told = sims if told is None else told.union(sims)
-        judged = met.join(sims.withColumnRenamed("b", "node"), ["a", "node"])
-        active = judged.groupBy("band", "node").agg(F.max("sim").alias("best")).filter(F.col("best") < similar).select("band", "node")
-        active = active.join(lead.select("band", F.col("a").alias("node")), ["band", "node"], "left_anti")
+def _rest(by: list[str], rank: str, w: str) -> Column:
+    """Weight of a row and of those after it, the ones that the fewest have first."""
+    return F.sum(w).over(Window.partitionBy(*by).orderBy(rank, "key").rowsBetween(0, Window.unboundedFollowing))
+
+
+def _needed(c: float) -> Column:
+    """Least weight of deviations that b shares with anything that failed under a and is similar to b."""
+    return (F.col("d") / 2 - (F.col("wb") - F.col("wa")) * (c / 2)) * NEAR
+
+
+def _spread(judged: DataFrame) -> DataFrame:
+    return judged.select("a", "b", "wa", "wb", "d", F.explode(F.arrays_zip("keys", "devs")).alias("x")).select("a", "b", "wa", "wb", "d", F.col("x.keys").alias("key"), F.col("x.devs").alias("w"))
+
+
+def regrouped(failed: DataFrame, c: float) -> DataFrame:
+    """band, node: new buckets of what failed (judge()'s rows) under the same leader and shares a deviation of both prefixes."""
+    some = failed.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    rows = materialise(_spread(failed.join(some, "a", "left_semi")), "deviations")
+    held = rows.groupBy("a", "key").agg(F.count("*").alias("held")).filter("held > 1")
+    rest = rows.join(held, ["a", "key"]).withColumn("rest", _rest(["a", "b"], "held", "w"))
+    found = rest.filter(F.col("rest") >= _needed(c)).select(F.xxhash64("a", "key").alias("band"), F.col("b").alias("node"))
+    out = materialise(crowded(found), "buckets")
+    forget(rows)
+    return out
+
+
+def crowded(members: DataFrame) -> DataFrame:
+    """band, node of the buckets that have two nodes or more."""
+    some = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    return members.join(some, "band").select("band", "node")
+
+
+def crossing(told: DataFrame, root: DataFrame, c: float, similar: float) -> DataFrame:
+    """Pairs (a, b) of what failed and what passed under the same leader that may be similar and aren't in one class."""
+    loose = (1 - 2 * (1 - similar)) * NEAR
+    named = lambda df, x: df.join(root.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
+    doubtful = named(named(told.filter((F.col("sim") < similar) & (F.col("sim") >= loose)), "a"), "b").filter("ra <> rb").drop("ra")
+    x = materialise(doubtful, "doubtful")
+    passed = told.filter((F.col("sim") >= similar) & (F.col("d") > 0)).join(x.select("a").distinct(), "a", "left_semi")
+    ids = x.select("a", "b", "rb").distinct()
+    xs, ys = _spread(x), _spread(passed)
+    hx, hy = (r.groupBy("a", "key").agg(F.count("*").alias(f"h{k}")) for k, r in (("x", xs), ("y", ys)))
+    held = materialise(hx.join(hy, ["a", "key"]).select("a", "key", (F.col("hx") + F.col("hy")).alias("held")), "shared")
+
+    def prefix(rows: DataFrame, need: Column, s: str) -> DataFrame:
+        rows = rows.join(held, ["a", "key"]).withColumn("rest", _rest(["a", "b"], "held", "w")).filter(F.col("rest") >= need)
+        return rows.select("a", "key", *(F.col(k).alias(f"{k}{s}") for k in ("b", "wb", "d", "rest")))
+
+    failed_need = (F.col("d") - (F.col("wa") + F.col("wb")) * c) / 2 * NEAR
+    met = prefix(xs, failed_need, "x").join(prefix(ys, _needed(c), "y"), ["a", "key"])
+    left = (F.col("dx") + F.col("dy") - (F.col("wbx") + F.col("wby")) * c) / 2 * NEAR
+    pairs = met.filter(F.least("restx", "resty") >= left).select("a", F.col("bx").alias("b"), F.col("by").alias("y")).distinct()
+    pairs = pairs.join(ids, ["a", "b"]).select(F.col("b").alias("x"), "y", F.col("rb").alias("rx"))
+    out = materialise(named(pairs, "y").filter("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cross")
+    forget(x)
+    forget(held)
+    return out
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, marks: DataFrame, idf: Weights, similar: float = SIMILAR, size: int = SIZE) -> DataFrame:
+    """Verified links (a, b) that connect the nodes of each class; marks: node, band; nodes: node, doc_id, digest."""
+    c = (1 - similar) / (1 + similar)
+    active = materialise(crowded(marks), "buckets")
+    bag = materialise(bag_table(docs, nodes.join(active.select("node").distinct(), "node", "left_semi"), idf, size), "bags")
+    counts = active.groupBy("band").agg(F.count("*").alias("n"))
+    company = materialise(active.join(counts, "band").groupBy("node").agg(F.sum("n").alias("company")), "company")
+    told: list[DataFrame] = []
+    leaders, k = 1, 0
+    while not active.isEmpty():
+        ranked = active.join(company, "node")
+        if leaders == 1:
+            lead = ranked.groupBy("band").agg(F.max(F.struct("company", -F.col("node"))).alias("m")).select("band", (-F.col("m.col2")).alias("a"), F.lit(1).alias("place"))
+        else:
+            order = Window.partitionBy("band").orderBy(F.desc("company"), "node")
+            lead = ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders).select("band", F.col("node").alias("a"), "place")
+        lead = materialise(lead, "leaders")
+        met = active.join(lead, "band").select("a", F.col("node").alias("b"), "band", "place")
+        if leaders == 1:
+            met = met.filter("a <> b")
+        else:  # leaders meet each other once
+            own = lead.select("band", F.col("a").alias("b"), F.col("place").alias("own"))
+            met = met.join(own, ["band", "b"], "left").filter(F.col("own").isNull() | (F.col("own") > F.col("place")))
+            met = met.withColumn("first", (F.col("place") == 1) & F.col("own").isNull())
         if leaders == 1:
-            active = prefixes(active.select("node").distinct(), bag, idf, similar)
-        active = materialise(active, "active")
-        leaders *= 4
-    if told is None:
-        return members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    told = materialise(told.groupBy("a", "b").agg(F.max("sim").alias("sim")), "told")
-    links = told.filter(F.col("sim") >= similar).select("a", "b")
-    doubtful = told.filter((F.col("sim") < similar) & (F.col("sim") >= loose)).select("a", F.col("b").alias("x"), (1 - F.col("sim")).alias("dx"))
-    if doubtful.isEmpty():
-        return links
-    root = materialise(components(links), "roots")
-    named = lambda df, c: df.join(root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-    # Members that are in their leader's class by now need no more; neither do members y that the bound rules out.
-    doubtful = named(named(doubtful, "a"), "x").filter("ra <> rx").select("a", "x", "dx")
-    near = told.filter(F.col("sim") >= similar).select("a", F.col("b").alias("y"), (1 - F.col("sim")).alias("dy")).filter(F.col("dy") >= 1e-9)
-    cross = doubtful.join(near, "a").filter(F.col("dy") >= F.col("dx") - far - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = verify(materialise(cross, "cross"), bag, idf).filter(F.col("sim") >= similar).select("a", "b")
+            met = met.withColumn("first", F.lit(True))
+        # first: b goes on among those that failed under its bucket's first leader.
+        met = met.groupBy("a", "b").agg(F.max("first").alias("first"), F.max(F.col("place") == 1).alias("main"))
+        met = materialise(met, "pairs")
+        judged = materialise(judge(met.select("a", "b"), bag).join(met, ["a", "b"]), "judged")
+        told.append(judged)
+        forget(active)
+        forget(lead)
+        forget(met)
+        active = regrouped(judged.filter(F.col("first") & (F.col("sim") < similar)), c)
+        k += 1
+        leaders = 1 if k < SINGLE else leaders * 4
+    forget(active)
+    none = marks.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    if not told:
+        return none
+    everything = reduce(DataFrame.union, told)
+    links = materialise(everything.filter(F.col("sim") >= similar).select("a", "b").distinct(), "links")
+    root = components(links)
+    cross = crossing(everything.filter("main"), root, c, similar)
+    more = materialise(judge(cross, bag).filter(F.col("sim") >= similar).select("a", "b"), "links")
+    for df in (*told, bag, company, cross, root):
+        forget(df)
     return links.union(more)
 
 
-def dedup(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
-    """doc_id, class_id (its smallest doc_id), kept of every row (see the module's text)."""
-    idf = idf_table(docs, size=size)
+def dedup(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, slots: int = SLOTS) -> DataFrame:
+    """doc_id, class_id (its smallest doc_id), kept, text_sha256 of every row (see the module's text)."""
+    idf = weights(docs, size, slots)
     rows_ = materialise(sketches(docs, idf, bands, rows, size), "sketches")
-    texts = rows_.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    marks = rows_.filter("doc_id is not null").join(texts.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    marks = materialise(marks.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")).distinct(), "marks")
-    root = components(near_links(docs, marks, idf, similar, size))
-    named = texts.join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
+    texts = rows_.filter("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("m"))
+    nodes = materialise(texts.select("digest", F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias("node")), "nodes")
+    marks = rows_.select(F.col("row").alias("node"), "bands").join(nodes.select("node"), "node", "left_semi")
+    links = near_links(docs, nodes, marks.select("node", F.explode("bands").alias("band")).distinct(), idf, similar, size)
+    root = components(links)
+    named = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # A class is named by its smallest doc_id; of texts that share that id, the one of the least digest stays.
+    least = root.join(nodes, "node").select("root", "doc_id", "digest").union(root.select(F.col("root").alias("node"), "root").distinct().join(nodes, "node").select("root", "doc_id", "digest"))
+    least = least.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min_by("digest", F.struct("doc_id", "digest")).alias("stays"))
+    named = materialise(named.join(least, "root", "left").select("digest", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("stays", "digest").alias("stays")), "classes")
     out = rows_.select("doc_id", "digest").join(named, "digest", "left")
-    class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    alone = F.col("doc_id").isNull()
+    kept = alone | ((F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("stays")))
+    return out.select("doc_id", F.when(~alone, F.col("class_id")).alias("class_id"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

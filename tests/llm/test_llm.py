@@ -95,7 +95,7 @@ def brute_classes(rows, idf, similar=0.8):
     for i, t in rows.items():
         _, sh, n = minhash.bags([t])
         bag[i] = dict(zip(sh.tolist(), n.tolist()))
-    weight = lambda x: float(idf[x & (len(idf) - 1)])
+    weight = lambda x: float(idf.of(np.array([x], np.uint64))[0])
     total = {i: sum(n * weight(x) for x, n in b.items()) for i, b in bag.items()}
     holders = defaultdict(list)
     for i, b in bag.items():
@@ -130,7 +130,7 @@ def test_near_duplicates_against_all_pairs(spark, docs):
         own[7 * k % len(own)] = f"changed{k}"
         rows[10_000 + k] = " ".join(own)
     made = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    idf = minhash.idf_table(made)
+    idf = minhash.weights(made)
     got = {r.doc_id: r.class_id for r in minhash.dedup(made).collect()}
     assert got == brute_classes(rows, idf)
     assert len({got[10_000 + k] for k in range(60)}) == 1
@@ -436,7 +436,7 @@ def test_pipeline_stages(spark, docs, hard):
     assert kept == set(top.values())
     once = C.drop_copies(spark, hard, "")
     assert once.columns == hard.columns and sorted(str(r.doc_id) for r in once.collect()) == ["4", "5", "6", "7", "8", "None"]
-    idf = minhash.idf_table(docs)
+    idf = minhash.weights(docs)
     rows = {r.doc_id: r.text or "" for r in docs.collect()}
     near = {r.doc_id for r in C.drop_near(spark, docs, "").collect()}
     assert near == set(brute_classes(rows, idf).values())
