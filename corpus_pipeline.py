@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from beaconry.llm import cuckoo, minhash, packing, secrets, toxicity
 from beaconry.llm.common import materialise, table
@@ -21,32 +22,58 @@ from beaconry.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose last link's probability stays below the threshold. The labels are sf_dir's, where they still have a document."""
+    """Documents whose last link's probability stays below the threshold.
+
+    The labels are sf_dir's, where they still have a document. A null or empty text
+    has no words and is judged by the model's bias alone; rows that repeat are
+    judged each on its own; without rows there are none.
+    """
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id and text_sha256 are in gone. Only gone's keys may meet a shuffle twice, a text does once at most."""
+    rows = _keyed(docs)
+    return rows.join(gone, rows["_id"].eqNullSafe(gone["doc_id"]) & (rows["_sha"] == gone["text_sha256"]), "left_anti").select("_row.*")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """_row (all columns of docs, so that no name clashes), _id, _sha."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("_sha"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: that with the largest doc_id; of rows that repeat it, one."""
-    kept = cuckoo.dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    rows = docs.withColumn("_digest", digest)
-    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_digest"] == kept["_digest"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    """One row of each group of equal texts: that with the largest doc_id.
+
+    A null text counts as empty. Of rows that repeat both the id and the text the
+    one with the least hash of all columns stays. Without rows there are none.
+    """
+    told = cuckoo.dedup(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count("*").alias("times"))
+    told = materialise(told.filter("NOT stays OR times > 1"), "copies")  # the keys of rows that need a decision
+    again = told.filter("stays").select("doc_id", "text_sha256")
+    rows = _keyed(docs)
+    rows = rows.join(again, rows["_id"].eqNullSafe(again["doc_id"]) & (rows["_sha"] == again["text_sha256"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.xxhash64("_row")))
+    return _without(docs, told).union(rows.withColumn("_n", first).filter("_n = 1").select("_row.*"))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that with the smallest doc_id. Rows without doc_id stay."""
-    gone = minhash.dedup(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class of near duplicates: that with the smallest doc_id. Rows without doc_id stay.
+
+    Null and empty texts are equal texts; rows that repeat id and text share one
+    verdict, rows that repeat only an id are judged each by its text. Without rows
+    there are none.
+    """
+    return _without(docs, materialise(minhash.dedup(docs).filter("NOT kept").select("doc_id", "text_sha256").distinct(), "near"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked."""
+    """All documents, with their secrets masked; null texts stay null, without rows there are none."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 ids."""
+    """The pieces of all documents in sequences of at most 2048 ids; a null or empty text is its end's id alone, without rows there are no pieces."""
     return packing.pack(packing.tokenise(docs, vocabulary("word_bpe_49k.json")))
 
 
