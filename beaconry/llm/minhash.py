@@ -1,10 +1,11 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles.
 
 1. Every text becomes a bag of five-word shingles, weighted tf * idf with
-   idf = ln((N + 1) / (max(df, floor) + 1)) + 1 and floor = all shingles / SLOTS.
-   df is counted over all documents, exactly, for every shingle that reaches the
-   floor: at most SLOTS of them can, whatever the input's size. A summary with
-   a proven error (Misra-Gries, in each task) finds them, a second pass counts.
+   idf = ln((N + 1) / (max(df, floor) + 1)) + 1. All documents are counted, into
+   two rows of BUCKETS counters by two hashes, and the smaller count holds
+   (count-min). A counter has S / BUCKETS others in it on average, S being all
+   shingles; the floor is FLOOR times that, so collisions move no idf by more than
+   a few hundredths, at every size, and the table's size is fixed.
 2. Improved consistent weighted sampling draws ROWS * BANDS samples of every
    bag: two bags draw the same sample with a probability equal to their weighted
    Jaccard similarity. A band is the hash of ROWS samples. At similarity 0.8 a
@@ -25,8 +26,9 @@
    be among the first of both, those before which at least the needed weight
    is left (prefix filtering).
    - Both failed: nodes that share such a deviation are a new bucket with its own
-     leader, and so on until no bucket is left. From the fourth round on, four
-     times as many lead in each round.
+     leader, and so on until no bucket is left; where FEW nodes failed at most,
+     they are one bucket. From the fourth round on, four times as many lead in
+     each round.
    - x failed and y passed: only where sim(x, l) >= 0.6 (1 - similarity is a
      metric), and where at the deviation they share enough is left of both
      (positional filtering). These pairs are verified too, if their nodes are not
@@ -34,8 +36,8 @@
 4. Classes are the connected components (large star, small star); the smallest
    doc_id names a class and stays.
 
-All per-document state lives in tables; the driver sees the table of frequent
-shingles, counts and nothing else. Leaders are found by partial aggregation;
+All per-document state lives in tables; the driver sees the table of idf, counts
+and nothing else. Leaders are found by partial aggregation;
 a hot bucket or text meets only joins that adaptive execution can split.
 
 Defined results: a null text counts as empty; texts without words are like only
@@ -61,24 +63,27 @@ from pyspark.sql.window import Window
 from beaconry.llm.common import forget, materialise, whole
 
 SIZE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
-SLOTS = 1 << 18
-CHUNK_BYTES = 1 << 20
+BUCKETS, BLOCK, FLOOR = 1 << 19, 1 << 14, 16
+CHUNK_BYTES = 1 << 19
 NEAR = 1 - 1e-9  # room for rounding: bounds keep what they only just exclude
 SINGLE = 3  # rounds with one leader a bucket
+FEW = 32  # as many that failed under a leader are one bucket; more are told apart by their deviations
 
 
 class Weights(NamedTuple):
-    """idf of the frequent shingles (ascending) and of all others."""
+    """idf by bucket, for two hashes of a shingle; the rarer bucket counts."""
 
-    shingles: np.ndarray
-    idf: np.ndarray
-    rare: float
+    one: np.ndarray
+    two: np.ndarray
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.shingles):
-            return np.full(len(shingles), self.rare, np.float32)
-        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
-        return np.where(self.shingles[at] == shingles, self.idf[at], np.float32(self.rare)).astype(np.float32)
+        a, b = _buckets(shingles, len(self.one))
+        return np.maximum(self.one[a], self.two[b])
+
+
+def _buckets(shingles: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    low = np.uint64(size - 1)
+    return (shingles & low).view(np.int64), ((shingles >> np.uint64(24)) & low).view(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,106 +108,109 @@ def bags(texts: list[str], size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np
     return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), times
 
 
-def summary(parts: Iterator[np.ndarray], slots: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(item, count, all items): every count is too small by all items / (2 * slots) at most, and absent items count 0 (Misra and Gries)."""
-    items, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-    held: list[np.ndarray] = []
-
-    def merge() -> None:
-        nonlocal items, counts, held
-        new, times = np.unique(np.concatenate(held), return_counts=True)
-        both, at = np.unique(np.concatenate([items, new]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([counts, times]), len(both)).astype(np.int64)
-        items, held = both, []
-        if len(items) > 2 * slots:
-            counts -= np.partition(counts, len(counts) - 2 * slots - 1)[len(counts) - 2 * slots - 1]
-            items, counts = items[counts > 0], counts[counts > 0]
-
-    size = 0
-    for part in parts:
-        held.append(part)
-        size += len(part)
-        total += len(part)
-        if size > 4 * slots:
-            merge()
-            size = 0
-    if held:
-        merge()
-    return items, counts, total
-
-
-def weights(docs: DataFrame, size: int = SIZE, slots: int = SLOTS) -> Weights:
-    """idf of the shingles that make up 1 / slots of all or more, from all documents."""
-
-    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, counts, total = summary((bags(b["text"].to_pylist(), size)[1] for b in _chunks(batches)), slots)
-        some = counts * 4 * slots >= total
-        h, n = items[some].view(np.int64), counts[some]
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.int64())], ["h", "n"])
-        for a in range(0, len(h), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(h[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], ["h", "n"])
-
-    texts = docs.select(whole().alias("text"))
-    guessed = materialise(texts.mapInArrow(guess, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "shingle-guess")
-    total = guessed.filter("h = -1").agg(F.sum("n")).first()[0] or 0
-    # What a task may have missed (1 / 4) and what its counts may lack (1 / 2) leave a quarter: 4 * slots rows at most.
-    asked = guessed.filter("h <> -1").filter(F.col("n") * 4 * slots >= total).select("h").toArrow()
-    forget(guessed)
-    known = np.sort(asked["h"].to_numpy().astype(np.uint64))
+def weights(docs: DataFrame, size: int = SIZE, buckets: int = BUCKETS) -> Weights:
+    """The idf of all shingles, from all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(len(known) + 1, np.int64)
+        found = np.zeros((2, buckets), np.int64)
         for b in _chunks(batches):
-            sh = bags(b["text"].to_pylist(), size)[1]
-            at = np.minimum(np.searchsorted(known, sh), len(known) - 1)
-            found += np.bincount(np.where(known[at] == sh, at, len(known)), minlength=len(found))
-        at = np.flatnonzero(found[:-1])
-        for a in range(0, len(at), 1 << 16):
-            part = at[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(found[part])], ["at", "n"])
-
-    n, floor = docs.count(), max(1.0, total / slots)
-    idf = lambda df: np.log((n + 1) / (np.maximum(df, floor) + 1)) + 1
-    if not len(known):
-        return Weights(known, np.zeros(0, np.float32), float(idf(floor)))
-    rows = texts.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    got = rows.filter(F.col("n") * slots >= total).toArrow()  # `slots` rows at most
-    at, df = got["at"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(at)
-    return Weights(known[at[order]], idf(df[order]).astype(np.float32), float(idf(floor)))
+            for row, at in zip(found, _buckets(bags(b["text"].to_pylist(), size)[1], buckets)):
+                row += np.bincount(at, minlength=buckets)
+        yield from _blocks(enumerate(found.reshape(-1, BLOCK)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, n in zip(b["block"].to_pylist(), b["n"]):
+                n = np.frombuffer(n.as_py(), np.int64)
+                found[k] = found[k] + n if k in found else n
+        yield from _blocks(found.items())
+
+    # Each task sends its counters as a few dozen rows, whatever it read; sums are made while they stream in.
+    rows = docs.select(whole().alias("text")).mapInArrow(count, "block int, n binary").repartition("block").mapInArrow(add, "block int, n binary")
+    df = np.zeros(2 * buckets, np.int64)
+    for k, n in zip(*(c.to_pylist() for c in rows.toArrow().columns)):  # 2 * buckets counters
+        df[k * BLOCK : (k + 1) * BLOCK] += np.frombuffer(n, np.int64)
+    n, floor = docs.count(), max(1.0, df.sum() / 2 / (buckets / FLOOR))
+    idf = (np.log((n + 1) / (np.clip(df, floor, max(n, floor)) + 1)) + 1).astype(np.float32)
+    return Weights(idf[:buckets], idf[buckets:])
+
+
+def _blocks(found) -> Iterator[pa.RecordBatch]:
+    for k, n in found:
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n.tobytes()], pa.binary())], ["block", "n"])
+
+
+FINE, COARSE = 14, 8  # bits of c, and of r and b each
+_TAIL = 24
 
 
 @lru_cache(maxsize=1)
 def _variates() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Quantiles of Gamma(2, 1) (r, 1 / r and ln c) and of U(0, 1) at 4096 levels."""
-    u = (np.arange(4096) + 0.5) / 4096
-    lo, hi = np.zeros(4096), np.full(4096, 60.0)
-    for _ in range(60):
-        x = (lo + hi) / 2
-        below = 1 - np.exp(-x) * (1 + x) < u
-        lo, hi = np.where(below, x, lo), np.where(below, hi, x)
-    return x.astype(np.float32), (1 / x).astype(np.float32), np.log(x).astype(np.float32), u.astype(np.float32)
+    """Quantiles of Gamma(2, 1) (r, 1 / r at 2**COARSE levels and ln c at 2**FINE) and of U(0, 1) at 2**COARSE levels."""
+
+    def gamma(levels: int) -> tuple[np.ndarray, np.ndarray]:
+        u = (np.arange(levels) + 0.5) / levels
+        lo, hi = np.zeros(levels), np.full(levels, 60.0)
+        for _ in range(60):
+            x = (lo + hi) / 2
+            below = 1 - np.exp(-x) * (1 + x) < u
+            lo, hi = np.where(below, x, lo), np.where(below, hi, x)
+        return x, u
+
+    r, u = gamma(1 << COARSE)
+    return r, 1 / r, np.log(gamma(1 << FINE)[0]), u
+
+
+@lru_cache(maxsize=8)
+def _common(ln: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of a weight: the places of ln c, and those of what is taken off for each (r, b)."""
+    r, inv, lc, beta = _variates()
+    t = np.floor(ln * inv[:, None] + beta[None, :])
+    off = r[:, None] * (t - beta[None, :] + 1)
+    return np.round((lc + 100) * (1 << 20)).astype(np.int64) << _TAIL, np.round(off.reshape(-1) * (1 << 20)).astype(np.int64) << _TAIL
 
 
 def samples(shingle: np.ndarray, weight: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """k consistent weighted samples (rows) of each bag (columns); bags begin at `first` and are not empty."""
+    """k consistent weighted samples (rows) of each bag (columns); bags begin at `first` and are not empty.
+
+    A shingle's r, b and c come from one multiplication of its hash (multiply-shift).
+    What they give for the most frequent weight stands in a table.
+    """
     r, inv, lc, beta = _variates()
-    out = np.empty((k, len(first)), np.uint64)
-    ln = np.log(weight).astype(np.float32)
-    low = np.uint64(4095)
+    out = np.empty((k, len(first)), np.int64)
+    ln = np.log(weight.astype(np.float32))
+    values, counts = np.unique(ln, return_counts=True)
+    usual = values[np.argmax(counts)]
+    fine, off = _common(float(usual))
+    other = np.flatnonzero(ln != usual)
+    lo = ln[other].astype(float)
+    x, y, at = np.empty(len(shingle), np.uint64), np.empty(len(shingle), np.int64), np.empty(len(shingle), np.uint64)
     for j in range(k):
-        x = (shingle + np.uint64((2 * j + 1) * 0x632BE59BD9B4E019 & ((1 << 64) - 1))) * np.uint64(0xFF51AFD7ED558CCD)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xC4CEB9FE1A85EC53)
-        x ^= x >> np.uint64(29)
-        i = (x & low).astype(np.int32)
-        b = beta[((x >> np.uint64(12)) & low).astype(np.int32)]
-        t = np.floor(ln * inv[i] + b)
-        a = lc[((x >> np.uint64(24)) & low).astype(np.int32)] - r[i] * (t - b + np.float32(1))
-        bits = a.view(np.uint32)
-        bits = bits ^ np.where(bits >> 31, np.uint32(0xFFFFFFFF), np.uint32(0x80000000))
-        out[j] = np.minimum.reduceat((bits.astype(np.uint64) << np.uint64(32)) | (x >> np.uint64(32)), first)
-    return out
+        np.multiply(shingle, _odd(j), out=x)
+        np.right_shift(x, np.uint64(64 - 2 * COARSE), out=at)
+        rb = at.view(np.int64)[other]
+        np.take(off, at.view(np.int64), out=y, mode="clip")
+        np.right_shift(x, np.uint64(64 - 2 * COARSE - FINE), out=at)
+        np.bitwise_and(at, np.uint64((1 << FINE) - 1), out=at)
+        np.subtract(fine[at.view(np.int64)], y, out=y)
+        if len(other):
+            i, b = rb >> COARSE, beta[rb & ((1 << COARSE) - 1)]
+            own = r[i] * (np.floor(lo * inv[i] + b) - b + 1)
+            y[other] = fine[at.view(np.int64)[other]] - (np.round(own * (1 << 20)).astype(np.int64) << _TAIL)
+        np.bitwise_and(x, np.uint64((1 << _TAIL) - 1), out=x)
+        np.add(y, x.view(np.int64), out=y)
+        out[j] = np.minimum.reduceat(y, first)
+    return out.view(np.uint64)
+
+
+@lru_cache(maxsize=4096)
+def _odd(j: int) -> np.uint64:
+    """The j-th sample's odd factor."""
+    from beaconry.llm.textvec import mix
+
+    return mix(np.array([j + 1], np.uint64) * np.uint64(0x632BE59BD9B4E019))[0] | np.uint64(1)
 
 
 def band_keys(texts: list[str], idf: Weights, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> list[np.ndarray | None]:
@@ -297,8 +305,9 @@ def judge(pairs: DataFrame, bag: DataFrame) -> DataFrame:
                 columns = [pa.array(sim), pa.array(wa), pa.array(wb), pa.array(d), pa.array(keys, pa.list_(pa.int64())), pa.array(devs, pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays([c["a"], c["b"], *columns], ["a", "b", "sim", "wa", "wb", "d", "keys", "devs"])
 
-    sides = [bag.select(F.col("node").alias(s), F.col("h").alias(f"h{s}"), F.col("w").alias(f"w{s}")) for s in "ab"]
-    return pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, JUDGED)
+    side = lambda df, s: df.select(F.col("node").alias(s), F.col("h").alias(f"h{s}"), F.col("w").alias(f"w{s}"))
+    leaders = bag.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")  # few bags lead: only they are dealt out again
+    return pairs.join(side(bag, "b"), "b").join(side(leaders, "a"), "a").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, JUDGED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -337,13 +346,14 @@ def _spread(judged: DataFrame) -> DataFrame:
 
 
 def regrouped(failed: DataFrame, c: float) -> DataFrame:
-    """band, node: new buckets of what failed (judge()'s rows) under the same leader and shares a deviation of both prefixes."""
-    some = failed.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
-    rows = materialise(_spread(failed.join(some, "a", "left_semi")), "deviations")
+    """band, node: new buckets of what failed (judge()'s rows) under the same leader and may be similar."""
+    size = failed.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
+    few = failed.select("a", F.col("b").alias("node")).join(size.filter(F.col("n") <= FEW), "a").select(F.xxhash64("a").alias("band"), "node")
+    rows = materialise(_spread(failed.join(size.filter(F.col("n") > FEW), "a", "left_semi")), "deviations")
     held = rows.groupBy("a", "key").agg(F.count("*").alias("held")).filter("held > 1")
     rest = rows.join(held, ["a", "key"]).withColumn("rest", _rest(["a", "b"], "held", "w"))
     found = rest.filter(F.col("rest") >= _needed(c)).select(F.xxhash64("a", "key").alias("band"), F.col("b").alias("node"))
-    out = materialise(crowded(found), "buckets")
+    out = materialise(few.union(crowded(found)), "buckets")
     forget(rows)
     return out
 
@@ -432,14 +442,14 @@ def near_links(docs: DataFrame, nodes: DataFrame, marks: DataFrame, idf: Weights
     return links.union(more)
 
 
-def dedup(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, slots: int = SLOTS) -> DataFrame:
+def dedup(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, class_id (its smallest doc_id), kept, text_sha256 of every row (see the module's text)."""
-    idf = weights(docs, size, slots)
+    idf = weights(docs, size, buckets)
     rows_ = materialise(sketches(docs, idf, bands, rows, size), "sketches")
     texts = rows_.filter("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("m"))
     nodes = materialise(texts.select("digest", F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias("node")), "nodes")
     marks = rows_.select(F.col("row").alias("node"), "bands").join(nodes.select("node"), "node", "left_semi")
-    links = near_links(docs, nodes, marks.select("node", F.explode("bands").alias("band")).distinct(), idf, similar, size)
+    links = near_links(docs, nodes, marks.select("node", F.explode("bands").alias("band")), idf, similar, size)
     root = components(links)
     named = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # A class is named by its smallest doc_id; of texts that share that id, the one of the least digest stays.
