@@ -61,10 +61,14 @@ def _slices(data: np.ndarray, word: np.ndarray):
 
 
 class Words:
-    """hash, start, end (bytes) of every word of some texts; first[i]:first[i+1] are those of text i."""
+    """hash, start, end (bytes) of every word of some texts; first[i]:first[i+1] are those of text i.
 
-    def __init__(self, texts: list[str]):
-        values, word = _tables()
+    word: for each byte, whether it is part of a word (not so for 0, which parts the texts).
+    """
+
+    def __init__(self, texts: list[str], word: np.ndarray | None = None):
+        values, usual = _tables()
+        word = usual if word is None else word
         parts = [t.encode("utf-8", "replace") for t in texts]
         self.at = np.cumsum([0] + [len(p) + 1 for p in parts])
         self.data = data = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)

@@ -264,6 +264,25 @@ def test_rare_sources_do_not_send_together():
         assert abs(per[w]["big"] / 2048 - 0.96) < 0.04
 
 
+def test_windows_follow_a_target_unlike_the_input(spark):
+    """Three sources with the same ids, targets 0.6, 0.3 and what is left: the first runs out, then the others keep their proportions."""
+    rng = np.random.default_rng(6)
+    rows = [(i, f"={'abc'[i % 3]}", int(rng.integers(1, 900))) for i in range(9_000)]
+    tokens = spark.createDataFrame(rows, "doc_id long, queue string, n long").selectExpr("doc_id", "queue", "xxhash64(doc_id) h", "n", "unhex(repeat('0100', int(n))) ids")
+    p = packing.pack(tokens, epoch=1 << 16, target={"a": 0.6, "b": 0.3}).toPandas()
+    own = p.groupby("queue").length.sum()
+    assert own.sum() == sum(n for _, _, n in rows)
+    held = p.pivot_table(index="sequence_id", columns="queue", values="length", aggfunc="sum", fill_value=0) / 2048
+    first = int(own["=a"] / 0.6 / 2048) - 2
+    assert first > 500
+    for q, share in (("=a", 0.6), ("=b", 0.3), ("=c", 0.1)):
+        assert (held[q].iloc[:first] - share).abs().max() < 0.2 and abs(held[q].iloc[:first].mean() - share) < 0.01
+    second = first + int((own["=b"] - own["=a"] / 2) / 0.75 / 2048) - 2
+    assert abs(held["=b"].iloc[first + 4 : second].mean() - 0.75) < 0.02 and held["=a"].iloc[first + 4 :].max() == 0
+    with pytest.raises(ValueError):
+        packing.targets({"a": 5, None: 5}, {"a": 1.0})
+
+
 def test_packing_no_rows(none):
     assert packing.pack(packing.tokenise(none, vocabulary("word_bpe_49k.json"))).count() == 0
 
@@ -278,6 +297,9 @@ def test_word_ids_are_the_tokenizers():
     for _ in range(3000):
         text = "".join(rng.choice(parts, rng.integers(0, 14)))
         assert np.frombuffer(mine.ids(text), "<u2").tolist() == tk.encode(text, add_special_tokens=False).ids
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(300)] + ["", "x" * 70_000, "ab " * 30_000]
+    for text, ids in zip(texts, mine.many(texts)):
+        assert ids.tolist() == tk.encode(text, add_special_tokens=False).ids
 
 
 def test_transducer_is_the_librarys_and_decodes(docs, hard, none):
