@@ -26,9 +26,10 @@
    be among the first of both, those before which at least the needed weight
    is left (prefix filtering).
    - Both failed: nodes that share such a deviation are a new bucket with its own
-     leader, and so on until no bucket is left; where FEW nodes failed at most,
-     they are one bucket. From the fourth round on, four times as many lead in
-     each round.
+     leader, and so on until no bucket is left. Where FEW nodes failed at most,
+     they are one bucket; where more did, those leave first of which too much is
+     deviations that no other has. From the fourth round on, four times as many
+     lead in each round.
    - x failed and y passed: only where sim(x, l) >= 0.6 (1 - similarity is a
      metric), and where at the deviation they share enough is left of both
      (positional filtering). These pairs are verified too, if their nodes are not
@@ -67,7 +68,7 @@ BUCKETS, BLOCK, FLOOR = 1 << 19, 1 << 14, 16
 CHUNK_BYTES = 1 << 19
 NEAR = 1 - 1e-9  # room for rounding: bounds keep what they only just exclude
 SINGLE = 3  # rounds with one leader a bucket
-FEW = 32  # as many that failed under a leader are one bucket; more are told apart by their deviations
+FEW, PEELS = 128, 2  # FEW that failed under a leader are one bucket; more are told apart by their deviations
 
 
 class Weights(NamedTuple):
@@ -345,16 +346,40 @@ def _spread(judged: DataFrame) -> DataFrame:
     return judged.select("a", "b", "wa", "wb", "d", F.explode(F.arrays_zip("keys", "devs")).alias("x")).select("a", "b", "wa", "wb", "d", F.col("x.keys").alias("key"), F.col("x.devs").alias("w"))
 
 
-def regrouped(failed: DataFrame, c: float) -> DataFrame:
+def peeled(rows: DataFrame, c: float, similar: float) -> DataFrame:
+    """The rows of _spread() of those b that may be similar to another b of the same a.
+
+    More than 1 - similar of b's weight must not be deviations beyond a that it
+    has alone, and what it shares with any other must reach what is needed.
+    """
+    held = rows.groupBy("a", "key").agg(F.count("*").alias("held"))
+    alone, shared = (F.sum(F.when(when, F.col("w")).otherwise(0.0)) for when in ((F.col("held") == 1) & (F.col("key").bitwiseAND(1) == 0), F.col("held") > 1))
+    sums = rows.join(held, ["a", "key"]).groupBy("a", "b", "wa", "wb", "d").agg(alone.alias("alone"), shared.alias("shared"))
+    keep = sums.filter((F.col("alone") * NEAR <= F.col("wb") * (1 - similar)) & (F.col("shared") >= _needed(c))).select("a", "b")
+    out = materialise(rows.join(keep, ["a", "b"], "left_semi"), "deviations")
+    forget(rows)
+    return out
+
+
+def regrouped(failed: DataFrame, c: float, similar: float) -> DataFrame:
     """band, node: new buckets of what failed (judge()'s rows) under the same leader and may be similar."""
     size = failed.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
-    few = failed.select("a", F.col("b").alias("node")).join(size.filter(F.col("n") <= FEW), "a").select(F.xxhash64("a").alias("band"), "node")
+    small = lambda df, size: df.join(size.filter(F.col("n") <= FEW), "a").select(F.xxhash64("a").alias("band"), F.col("b").alias("node"))
+    few = small(failed.select("a", "b"), size)
     rows = materialise(_spread(failed.join(size.filter(F.col("n") > FEW), "a", "left_semi")), "deviations")
+    if rows.isEmpty():
+        return materialise(few, "buckets")
+    for _ in range(PEELS):
+        rows = peeled(rows, c, similar)
+    left = materialise(rows.select("a", "b").distinct(), "left")
+    size = left.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = rows.join(size.filter(F.col("n") > FEW), "a", "left_semi")
     held = rows.groupBy("a", "key").agg(F.count("*").alias("held")).filter("held > 1")
     rest = rows.join(held, ["a", "key"]).withColumn("rest", _rest(["a", "b"], "held", "w"))
     found = rest.filter(F.col("rest") >= _needed(c)).select(F.xxhash64("a", "key").alias("band"), F.col("b").alias("node"))
-    out = materialise(few.union(crowded(found)), "buckets")
+    out = materialise(few.union(small(left, size)).union(crowded(found)), "buckets")
     forget(rows)
+    forget(left)
     return out
 
 
@@ -425,7 +450,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, marks: DataFrame, idf: Weights
         forget(active)
         forget(lead)
         forget(met)
-        active = regrouped(judged.filter(F.col("first") & (F.col("sim") < similar)), c)
+        active = regrouped(judged.filter(F.col("first") & (F.col("sim") < similar)), c, similar)
         k += 1
         leaders = 1 if k < SINGLE else leaders * 4
     forget(active)
