@@ -25,11 +25,10 @@
    its deviations with x. Ordered by how few have them, one shared deviation must
    be among the first of both, those before which at least the needed weight
    is left (prefix filtering).
-   - Both failed: nodes that share such a deviation are a new bucket with its own
-     leader, and so on until no bucket is left. Where FEW nodes failed at most,
-     they are one bucket; where more did, those leave first of which too much is
-     deviations that no other has. From the fourth round on, four times as many
-     lead in each round.
+   - Both failed: those leave first of which too much is deviations that no
+     other has. Where at most FEW are left, they are compared with each other in
+     one task. Of more, those that share such a deviation are a new bucket with
+     its own leader, and so on until no bucket is left.
    - x failed and y passed: only where sim(x, l) >= 0.6 (1 - similarity is a
      metric), and where at the deviation they share enough is left of both
      (positional filtering). These pairs are verified too, if their nodes are not
@@ -67,8 +66,7 @@ SIZE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
 BUCKETS, BLOCK, FLOOR = 1 << 19, 1 << 14, 16
 CHUNK_BYTES = 1 << 19
 NEAR = 1 - 1e-9  # room for rounding: bounds keep what they only just exclude
-SINGLE = 3  # rounds with one leader a bucket
-FEW, PEELS = 128, 2  # FEW that failed under a leader are one bucket; more are told apart by their deviations
+FEW, PEELS = 256, 2  # FEW that failed under a leader are compared at once; more are told apart by their deviations
 
 
 class Weights(NamedTuple):
@@ -361,26 +359,68 @@ def peeled(rows: DataFrame, c: float, similar: float) -> DataFrame:
     return out
 
 
-def regrouped(failed: DataFrame, c: float, similar: float) -> DataFrame:
-    """band, node: new buckets of what failed (judge()'s rows) under the same leader and may be similar."""
-    size = failed.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
-    small = lambda df, size: df.join(size.filter(F.col("n") <= FEW), "a").select(F.xxhash64("a").alias("band"), F.col("b").alias("node"))
-    few = small(failed.select("a", "b"), size)
-    rows = materialise(_spread(failed.join(size.filter(F.col("n") > FEW), "a", "left_semi")), "deviations")
-    if rows.isEmpty():
-        return materialise(few, "buckets")
+def candidates(failed: DataFrame, c: float, similar: float, few: int) -> tuple[DataFrame, DataFrame]:
+    """Of what failed (judge()'s rows) under the same leader and may be similar: (a, b) where at most `few` are left, and new buckets (band, node) of the others."""
+    some = failed.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    rows = materialise(_spread(failed.join(some, "a", "left_semi")), "deviations")
     for _ in range(PEELS):
         rows = peeled(rows, c, similar)
-    left = materialise(rows.select("a", "b").distinct(), "left")
-    size = left.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(size.filter(F.col("n") > FEW), "a", "left_semi")
+    left = rows.select("a", "b").distinct()
+    left = materialise(left.join(left.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1"), "a"), "left")
+    crowd = left.filter(F.col("n") > few)
+    if crowd.isEmpty():
+        forget(rows)
+        return left, crowd.select(F.col("a").alias("band"), F.col("b").alias("node"))
+    rows = rows.join(crowd.select("a").distinct(), "a", "left_semi")
     held = rows.groupBy("a", "key").agg(F.count("*").alias("held")).filter("held > 1")
     rest = rows.join(held, ["a", "key"]).withColumn("rest", _rest(["a", "b"], "held", "w"))
     found = rest.filter(F.col("rest") >= _needed(c)).select(F.xxhash64("a", "key").alias("band"), F.col("b").alias("node"))
-    out = materialise(few.union(small(left, size)).union(crowded(found)), "buckets")
+    out = materialise(crowded(found), "buckets")
     forget(rows)
-    forget(left)
-    return out
+    return left.filter(F.col("n") <= few), out
+
+
+def among(groups: DataFrame, bag: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) that connect the similar nodes b of each group a, none of which is large: all pairs that aren't connected yet and whose weights allow it."""
+
+    def solve(nodes: list[int], own: list[Bag]) -> Iterator[tuple[int, int]]:
+        total = [float(w.sum()) for _, w in own]
+        order = sorted(range(len(own)), key=total.__getitem__)
+        root = list(range(len(own)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for k, i in enumerate(order):
+            for j in order[k + 1 :]:
+                if total[i] < total[j] * similar * NEAR:
+                    break
+                if find(i) != find(j) and compared(own[i], own[j])[0] >= similar:
+                    root[find(i)] = find(j)
+                    yield nodes[i], nodes[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, own = None, [], []
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for a, node, h, w in zip(b["a"].to_pylist(), b["node"].to_pylist(), b["h"], b["w"]):
+                if a != group:
+                    out += solve(nodes, own)
+                    group, nodes, own = a, [], []
+                nodes.append(node)
+                own.append((np.frombuffer(h.as_py(), np.uint64), np.frombuffer(w.as_py(), np.float32).astype(float)))
+            yield _pairs(out)
+        yield _pairs(list(solve(nodes, own)))
+
+    rows = groups.select("a", F.col("b").alias("node")).join(bag, "node")
+    return rows.repartition("a").sortWithinPartitions("a").select("a", "node", "h", "w").mapInArrow(run, "a long, b long")
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*out) if out else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def crowded(members: DataFrame) -> DataFrame:
@@ -416,7 +456,7 @@ def crossing(told: DataFrame, root: DataFrame, c: float, similar: float) -> Data
     return out
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, marks: DataFrame, idf: Weights, similar: float = SIMILAR, size: int = SIZE) -> DataFrame:
+def near_links(docs: DataFrame, nodes: DataFrame, marks: DataFrame, idf: Weights, similar: float = SIMILAR, size: int = SIZE, few: int = FEW) -> DataFrame:
     """Verified links (a, b) that connect the nodes of each class; marks: node, band; nodes: node, doc_id, digest."""
     c = (1 - similar) / (1 + similar)
     active = materialise(crowded(marks), "buckets")
@@ -424,57 +464,37 @@ def near_links(docs: DataFrame, nodes: DataFrame, marks: DataFrame, idf: Weights
     counts = active.groupBy("band").agg(F.count("*").alias("n"))
     company = materialise(active.join(counts, "band").groupBy("node").agg(F.sum("n").alias("company")), "company")
     told: list[DataFrame] = []
-    leaders, k = 1, 0
+    links: list[DataFrame] = []
     while not active.isEmpty():
-        ranked = active.join(company, "node")
-        if leaders == 1:
-            lead = ranked.groupBy("band").agg(F.max(F.struct("company", -F.col("node"))).alias("m")).select("band", (-F.col("m.col2")).alias("a"), F.lit(1).alias("place"))
-        else:
-            order = Window.partitionBy("band").orderBy(F.desc("company"), "node")
-            lead = ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders).select("band", F.col("node").alias("a"), "place")
-        lead = materialise(lead, "leaders")
-        met = active.join(lead, "band").select("a", F.col("node").alias("b"), "band", "place")
-        if leaders == 1:
-            met = met.filter("a <> b")
-        else:  # leaders meet each other once
-            own = lead.select("band", F.col("a").alias("b"), F.col("place").alias("own"))
-            met = met.join(own, ["band", "b"], "left").filter(F.col("own").isNull() | (F.col("own") > F.col("place")))
-            met = met.withColumn("first", (F.col("place") == 1) & F.col("own").isNull())
-        if leaders == 1:
-            met = met.withColumn("first", F.lit(True))
-        # first: b goes on among those that failed under its bucket's first leader.
-        met = met.groupBy("a", "b").agg(F.max("first").alias("first"), F.max(F.col("place") == 1).alias("main"))
-        met = materialise(met, "pairs")
-        judged = materialise(judge(met.select("a", "b"), bag).join(met, ["a", "b"]), "judged")
-        told.append(judged)
+        lead = active.join(company, "node").groupBy("band").agg(F.max(F.struct("company", (-F.col("node")).alias("least"))).alias("m"))
+        met = active.join(lead.select("band", (-F.col("m.least")).alias("a")), "band").filter("a <> node")
+        pairs = materialise(met.select("a", F.col("node").alias("b")).distinct(), "pairs")  # once, however many buckets they meet in
+        judged = materialise(judge(pairs, bag), "judged")
+        forget(pairs)
         forget(active)
-        forget(lead)
-        forget(met)
-        active = regrouped(judged.filter(F.col("first") & (F.col("sim") < similar)), c, similar)
-        k += 1
-        leaders = 1 if k < SINGLE else leaders * 4
-    forget(active)
-    none = marks.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        groups, active = candidates(judged.filter(F.col("sim") < similar), c, similar, few)
+        told.append(judged)
+        links += [judged.filter(F.col("sim") >= similar).select("a", "b"), materialise(among(groups, bag, similar), "links")]
     if not told:
-        return none
+        return marks.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     everything = reduce(DataFrame.union, told)
-    links = materialise(everything.filter(F.col("sim") >= similar).select("a", "b").distinct(), "links")
-    root = components(links)
-    cross = crossing(everything.filter("main"), root, c, similar)
+    found = materialise(reduce(DataFrame.union, links).distinct(), "links")
+    root = components(found)
+    cross = crossing(everything, root, c, similar)
     more = materialise(judge(cross, bag).filter(F.col("sim") >= similar).select("a", "b"), "links")
     for df in (*told, bag, company, cross, root):
         forget(df)
-    return links.union(more)
+    return found.union(more)
 
 
-def dedup(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, buckets: int = BUCKETS) -> DataFrame:
+def dedup(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, size: int = SIZE, buckets: int = BUCKETS, few: int = FEW) -> DataFrame:
     """doc_id, class_id (its smallest doc_id), kept, text_sha256 of every row (see the module's text)."""
     idf = weights(docs, size, buckets)
     rows_ = materialise(sketches(docs, idf, bands, rows, size), "sketches")
     texts = rows_.filter("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("m"))
     nodes = materialise(texts.select("digest", F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias("node")), "nodes")
     marks = rows_.select(F.col("row").alias("node"), "bands").join(nodes.select("node"), "node", "left_semi")
-    links = near_links(docs, nodes, marks.select("node", F.explode("bands").alias("band")), idf, similar, size)
+    links = near_links(docs, nodes, marks.select("node", F.explode("bands").alias("band")), idf, similar, size, few)
     root = components(links)
     named = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # A class is named by its smallest doc_id; of texts that share that id, the one of the least digest stays.

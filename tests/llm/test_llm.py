@@ -133,6 +133,8 @@ def test_near_duplicates_against_all_pairs(spark, docs):
     idf = minhash.weights(made)
     got = {r.doc_id: r.class_id for r in minhash.dedup(made).collect()}
     assert got == brute_classes(rows, idf)
+    # With groups of two at most the same classes are found by deviations alone.
+    assert got == {r.doc_id: r.class_id for r in minhash.dedup(made, few=2).collect()}
     assert len({got[10_000 + k] for k in range(60)}) == 1
 
 
@@ -142,6 +144,15 @@ def test_near_duplicates_hard_rows(hard, none):
     assert minhash.dedup(none).count() == 0
 
 
+def test_near_duplicates_keep_texts_apart_that_share_an_id(spark):
+    """Ids 1 and 5 hold near copies; another text with id 5 is like neither and stays."""
+    words = [f"w{k}" for k in range(200)]
+    near = " ".join([*words[:100], "other", *words[101:]])
+    rows = [(1, " ".join(words)), (5, near), (5, " ".join(f"v{k}" for k in range(90))), (9, "unlike all of them in five words")]
+    got = {(r.doc_id, r.class_id, r.kept) for r in minhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (5, 5, True), (9, 9, True)}
+
+
 def test_samples_follow_weighted_jaccard():
     rng = np.random.default_rng(1)
     sh = rng.integers(0, 1 << 48, 300).astype(np.uint64)
