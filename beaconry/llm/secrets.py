@@ -2,7 +2,8 @@
 
 Base kinds (assign, access, hex) are leftmost non-overlapping matches of fixed
 expressions that pass a length check. Beside them every token of SHORTEST and
-more characters of [A-Za-z0-9+/_=-] that no base span touches is a candidate.
+more characters of [A-Za-z0-9+/_=-] between the matches of assign, without an
+access or hex match in it, is a candidate.
 Its encoding (decimal, hex, base32, letters and digits of one or both cases,
 base64) is inferred from the characters it has, and three tests are made over
 that alphabet:
@@ -21,7 +22,9 @@ rate of false discoveries at RATE: p-values are counted by stratum in steps of a
 tenth of a decade, a table of fixed size, so all candidates of the corpus take
 part and none is gathered anywhere. What is kept becomes spans of kind `random`.
 
-Everything is built-in expressions; texts are never shuffled.
+Everything is built-in expressions; texts are never shuffled. Time is linear in a
+text's length, in the number of its matches and in the length of a token: places
+are running sums by blocks, and a token's characters are taken apart once.
 
 Defined results: a null text counts as empty and has no spans; rows that repeat
 an id are scanned on their own; without candidates nothing is added; an empty
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from beaconry.llm.common import materialise, whole
 
-SHORTEST, RATE, STEPS = 20, 0.01, 200
+SHORTEST, RATE, STEPS, BLOCK = 20, 0.01, 200, 256
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{16,}"  # the same as AKIA[A-Z0-9]+ with a length check after it: what is left of a run is shorter
@@ -61,18 +64,33 @@ BOUND = 3.2905  # two-sided 0.001
 _SPAN = "array<struct<a:bigint,k:int,b:bigint>>"
 
 
-def _spans(matches: Column, between: Column, k: int, keep: Column) -> Column:
-    """(a, k, b) of the matches whose entry in keep is true; between: the text's pieces around them."""
-    n = F.size(matches)
-    step = lambda s, i: F.struct(
-        (s["at"] + F.length(between[i]) + F.length(matches[i])).alias("at"),
-        F.when(keep[i], F.concat(s["out"], F.array(F.struct((s["at"] + F.length(between[i])).alias("a"), F.lit(k).alias("k"), (s["at"] + F.length(between[i]) + F.length(matches[i])).alias("b")))))
-        .otherwise(s["out"])
-        .alias("out"),
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
-    found = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["out"])
-    return F.when(n > 0, found).otherwise(F.array().cast(_SPAN))
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _starts(lengths: Column) -> Column:
+    """Running sums of an array before each entry. Arrays grow within blocks of BLOCK and over the blocks only, so n entries cost about n * BLOCK copies."""
+
+    def told(x: Column) -> Column:
+        """x: n (lengths), sums (of each block)."""
+        grown = lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        fold = lambda values, at: F.aggregate(values, F.struct(at.alias("at"), F.array().cast("array<bigint>").alias("out")), grown, lambda s: s["out"])
+        heads = fold(x["sums"], F.lit(0).cast("long"))
+        return F.flatten(F.transform(heads, lambda at, k: fold(F.slice(x["n"], (k * BLOCK + 1).cast("int"), BLOCK), at)))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
+    sums = F.transform(blocks, lambda k: F.aggregate(F.slice(lengths, k * BLOCK + 1, BLOCK), F.lit(0).cast("long"), lambda t, v: t + v))
+    return F.when(F.size(lengths) > 0, _let(F.struct(lengths.alias("n"), sums.alias("sums")), told)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _spans(matches: Column, between: Column, k: int, offset: Column) -> Column:
+    """(a, k, b) of all matches; between: the text's pieces around them, of which the first begins at offset."""
+    size = F.transform(matches, lambda m: F.length(m).cast("long"))
+    gaps = F.zip_with(F.slice(between, 1, F.size(matches)), size, lambda s, n: F.length(s) + n)
+    place = lambda at, n: F.struct((at + n["gap"] - n["n"] + offset).alias("a"), F.lit(k).alias("k"), (at + n["gap"] + offset).alias("b"))
+    told = lambda x: F.zip_with(_starts(x["gaps"]), F.zip_with(x["gaps"], x["size"], lambda g, n: F.struct(g.alias("gap"), n.alias("n"))), place)
+    return F.when(F.size(matches) > 0, _let(F.struct(gaps.alias("gaps"), size.alias("size")), told)).otherwise(F.array().cast(_SPAN))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -95,33 +113,36 @@ def _battery(s: Column) -> Column:
         s, alphabet = x["s"], F.element_at(alphabets, x["enc"] + 1)
         n, k = F.length(s).cast("double"), F.length(alphabet).cast("double")
         hex_ = F.when(x["enc"] == 1, F.lower(s)).otherwise(s)
-        chars = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(hex_, i, F.lit(1)))
+        chars = F.filter(F.split(hex_, ""), lambda c: c != "")
         return F.struct(
             x["enc"].alias("enc"), n.alias("n"), k.alias("k"), F.element_at(ics, x["enc"] + 1).alias("ic"),
             # sum of squared counts: what is left of the token without a character tells its count
             F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda t, c: t + F.pow(n - F.length(F.replace(hex_, c, F.lit(""))), 2)).alias("squares"),
             F.transform(chars, lambda c: F.call_function("instr", alphabet, c)).alias("codes"),
+            F.transform(chars, lambda c: F.call_function("instr", alphabet, c) * 2 > k).alias("high"),
             F.transform(chars, lambda c: F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3)).alias("classes"),
         )
 
-    return F.transform(F.transform(F.array(F.struct(s.alias("s"), enc.alias("enc"))), told), _judged)[0]
+    def summed(x: Column) -> Column:
+        ones = F.aggregate(x["high"], F.lit(0.0), lambda t, h: t + h.cast("double"))
+        return F.struct(x.alias("x"), ones.alias("ones"), (F.aggregate(x["codes"], F.lit(0.0), lambda t, c: t + c) / x["n"]).alias("mean"))
+
+    return F.transform(F.transform(F.transform(F.array(F.struct(s.alias("s"), enc.alias("enc"))), told), summed), _judged)[0]
 
 
 def _changes(a: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(a) - 1), F.lit(0.0), lambda t, i: t + (a[i] != a[i - 1]).cast("double"))
 
 
-def _judged(x: Column) -> Column:
+def _judged(y: Column) -> Column:
+    """y: x (told of a token), ones, mean. What a lambda names again and again is a field, so it is computed once."""
+    x, ones, mean, codes = y["x"], y["ones"], y["mean"], y["x"]["codes"]
     n, k = x["n"], x["k"]
     chi = k / n * x["squares"] - n
     # Wilson and Hilferty: the cube root of chi-squared over its degrees is nearly normal.
     z_chi = (F.cbrt(chi / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1)))
-    high = F.transform(x["codes"], lambda c: c * 2 > k)
-    ones = F.aggregate(high, F.lit(0.0), lambda t, h: t + h.cast("double"))
     both = 2 * ones * (n - ones)
-    z_runs = F.when(both > n, F.abs(_changes(high) - both / n) / F.sqrt(both * (both - n) / (n * n * (n - 1)))).otherwise(F.lit(99.0))
-    mean = F.aggregate(x["codes"], F.lit(0.0), lambda t, c: t + c) / n
-    codes = x["codes"]
+    z_runs = F.when(both > n, F.abs(_changes(x["high"]) - both / n) / F.sqrt(both * (both - n) / (n * n * (n - 1)))).otherwise(F.lit(99.0))
     square = F.aggregate(codes, F.lit(0.0), lambda t, c: t + (c - mean) * (c - mean))
     lag = F.aggregate(F.sequence(F.lit(1), F.size(codes) - 1), F.lit(0.0), lambda t, i: t + (codes[i] - mean) * (codes[i - 1] - mean))
     z_serial = F.when(square > 0, F.abs(lag / square + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
@@ -151,23 +172,27 @@ def annotate(docs: DataFrame) -> DataFrame:
         df = df.withColumn(f"_{name}_m", F.when(F.col(when), F.regexp_extract_all(t, F.lit(rx), F.lit(0))).otherwise(none))
         return df.withColumn(f"_{name}_s", F.when(F.size(f"_{name}_m") > 0, F.split(t, rx, -1)).otherwise(none))
 
-    for name, when, rx in (("assign", "_named", ASSIGN), ("access", "_key", ACCESS), ("hex", "_hex", HEX), ("token", "_long", TOKEN)):
+    for name, when, rx in (("assign", "_named", ASSIGN), ("access", "_key", ACCESS), ("hex", "_hex", HEX)):
         df = pieces(df, name, when, rx)
+    zero = F.lit(0).cast("long")
     values = F.when(F.size("_assign_m") > 0, F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))).otherwise(none)
-    df = df.withColumn("_v", F.transform(values, lambda v: F.length(v) >= 6))
-    all_ = lambda c: F.transform(F.col(c), lambda _: F.lit(True))
-    base = F.concat(
-        _spans(F.col("_assign_m"), F.col("_assign_s"), 0, F.col("_v")),
-        _spans(F.col("_access_m"), F.col("_access_s"), 1, all_("_access_m")),
-        _spans(F.col("_hex_m"), F.col("_hex_s"), 2, all_("_hex_m")),
-    )
+    df = df.withColumn("_v", F.transform(values, lambda v: F.length(v) >= 6)).withColumn("_assign", _spans(F.col("_assign_m"), F.col("_assign_s"), 0, zero))
+    kept = F.transform(F.filter(F.zip_with("_assign", "_v", lambda x, v: F.struct(x.alias("x"), v.alias("v"))), lambda y: y["v"]), lambda y: y["x"])
+    base = F.concat(kept, _spans(F.col("_access_m"), F.col("_access_s"), 1, zero), _spans(F.col("_hex_m"), F.col("_hex_s"), 2, zero))
     df = df.withColumn("base", F.array_sort(base))
-    tokens = _spans(F.col("_token_m"), F.col("_token_s"), 3, all_("_token_m"))
-    free = F.filter(
-        F.zip_with(tokens, F.col("_token_m"), lambda x, s: F.struct(x["a"].alias("a"), x["b"].alias("b"), s.alias("s"))),
-        lambda x: ~F.exists(F.col("base"), lambda y: (y["a"] < x["b"]) & (x["a"] < y["b"])),
-    )
-    df = df.withColumn("_free", free)
+    # Candidates are looked for between the matches of assign; a token that holds one of the other kinds shows it by itself.
+    part = lambda at, p: F.struct(at.alias("at"), p.alias("p"))
+    begins = F.concat(F.array(zero), F.transform("_assign", lambda x: x["b"]))
+    parts = F.when(~F.col("_long"), F.array().cast("array<struct<at:bigint,p:string>>")).when(F.size("_assign_m") > 0, F.zip_with(begins, "_assign_s", part)).otherwise(F.array(part(zero, t)))
+    df = df.withColumn("_parts", F.filter(parts, lambda x: x["p"].rlike(TOKEN)))
+
+    def tokens(x: Column) -> Column:
+        """x: at, p."""
+        both = F.struct(F.regexp_extract_all(x["p"], F.lit(TOKEN), F.lit(0)).alias("m"), F.split(x["p"], TOKEN, -1).alias("s"), x["at"].alias("at"))
+        named = lambda y: F.zip_with(_spans(y["m"], y["s"], 3, y["at"]), y["m"], lambda v, s: F.struct(v["a"].alias("a"), v["b"].alias("b"), s.alias("s")))
+        return _let(both, named)
+
+    df = df.withColumn("_free", F.filter(F.flatten(F.transform("_parts", tokens)), lambda x: ~x["s"].rlike(HEX) & ~x["s"].rlike(ACCESS)))
     found = F.transform("_free", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), _battery(x["s"]).alias("j")))
     df = df.withColumn("found", F.transform(found, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["j"]["stratum"].alias("stratum"), x["j"]["step"].alias("step"))))
     return df.drop(*(c for c in df.columns if c.startswith("_") and c not in docs.columns))
@@ -218,6 +243,7 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
 def redact(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> DataFrame:
     """docs, every row and column, with each span (overlapping ones as one) replaced by mark, and n_chars following."""
     noted = annotate(docs.select(F.struct(*docs.columns).alias("_row"), "text"))  # so that no column of docs meets one of ours
+    noted = materialise(noted.drop("text"), "noted").withColumn("text", F.col("_row.text"))  # scanned once: the limits and the rows both need it
     noted = noted.withColumn("_spans", F.array_sort(F.concat("base", _more(limits(noted, rate)))))
     step = lambda s, x: F.struct(
         F.greatest(s["at"], x["b"]).alias("at"),

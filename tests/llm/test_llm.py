@@ -389,6 +389,40 @@ def test_randomness_battery(spark):
         assert f.stratum // 8 == enc and f.step == -1 if p == -1 else abs(f.step - p) <= 1, toks[r.doc_id]
 
 
+def test_unlabelled_keys_among_plain_rows(spark):
+    """60 keys of four encodings in 3,000 rows of prose, identifiers and paths: all are found, and nothing else."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(["the", "er", "tion", "on", "in", "ment", "al", "re"], rng.integers(7, 11)))
+    alphabets = [secrets.LARGE + secrets.SMALL + secrets.DIGITS, secrets.LARGE + secrets.SMALL + secrets.DIGITS + "+/", secrets.LARGE + secrets.DIGITS, secrets.SMALL + secrets.DIGITS]
+    rows, planted = [], {}
+    for i in range(3000):
+        parts = [word(), "/".join(word() for _ in range(3)), "Some" + word().title(), "_".join(word() for _ in range(2))]
+        if i % 50 == 7:
+            planted[i] = "".join(rng.choice(list(alphabets[i // 50 % 4]), 40))
+            parts.insert(2, planted[i])
+        rows.append((i, " ".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(df).collect() if r.n_random}
+    assert len(planted) == 60
+    found = [i for i, s in got.items() if i in planted and s == f"random:{rows[i][1].index(planted[i])}:{rows[i][1].index(planted[i]) + 40}"]
+    # At a false discovery rate of 0.01; the battery itself turns away 3 random tokens in 1000.
+    assert len(found) >= 57 and len(got) - len(found) <= 2
+
+
+def test_secrets_in_very_long_texts(spark):
+    """A megabyte without a blank, and 50,000 matches in one text."""
+    import time
+
+    rng = np.random.default_rng(9)
+    solid = "".join(rng.choice(list(secrets.LARGE + secrets.SMALL + secrets.DIGITS), 1_000_000))
+    many = " ".join(f"token={k:08d} " + "0f" * 12 for k in range(25_000))
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame([(1, solid), (2, many)], "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert got[2].n_assign == 25_000 and got[2].n_hex == 25_000 and got[2].spans.startswith("assign:0:14,hex:15:39,assign:40:54")
+    assert got[2].spans.endswith(f"hex:{len(many) - 24}:{len(many)}") and got[1].n_assign == 0
+
+
 def test_random_tokens_are_found_and_masked(spark, hard, none):
     rows = [(1, "key Zk3JqP9vTnB7yWd2LmR8cXf5HsA4gUe6 is here"), (2, "thththerinthetionthertionthere and nothing"), (3, "password = 'q1w2e3r4' ok")]
     df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
