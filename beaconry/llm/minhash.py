@@ -26,9 +26,9 @@
    be among the first of both, those before which at least the needed weight
    is left (prefix filtering).
    - Both failed: those leave first of which too much is deviations that no
-     other has. Where at most FEW are left, they are compared with each other in
-     one task. Of more, those that share such a deviation are a new bucket with
-     its own leader, and so on until no bucket is left.
+     other has. A group of at most FEW nodes with ROOM deviations is compared in
+     one task. Nodes of a larger one that share such a deviation are a new bucket
+     with its own leader, and so on until no bucket is left.
    - x failed and y passed: only where sim(x, l) >= 0.6 (1 - similarity is a
      metric), and where at the deviation they share enough is left of both
      (positional filtering). These pairs are verified too, if their nodes are not
@@ -66,7 +66,7 @@ SIZE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
 BUCKETS, BLOCK, FLOOR = 1 << 19, 1 << 14, 16
 CHUNK_BYTES = 1 << 19
 NEAR = 1 - 1e-9  # room for rounding: bounds keep what they only just exclude
-FEW, PEELS = 256, 2  # FEW that failed under a leader are compared at once; more are told apart by their deviations
+FEW, ROOM, PEELS = 2048, 4 << 20, 2  # as many that failed under a leader, with as many deviations, are compared in one task; of more, deviations are joined
 
 
 class Weights(NamedTuple):
@@ -360,62 +360,88 @@ def peeled(rows: DataFrame, c: float, similar: float) -> DataFrame:
 
 
 def candidates(failed: DataFrame, c: float, similar: float, few: int) -> tuple[DataFrame, DataFrame]:
-    """Of what failed (judge()'s rows) under the same leader and may be similar: (a, b) where at most `few` are left, and new buckets (band, node) of the others."""
-    some = failed.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
-    rows = materialise(_spread(failed.join(some, "a", "left_semi")), "deviations")
+    """Of what failed (judge()'s rows) under the same leader: links among groups that fit a task, and new buckets (band, node) of larger ones."""
+    size = failed.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.size("keys")).alias("room")).filter("n > 1")
+    size = materialise(size.select("a", ((F.col("n") <= few) & (F.col("room") <= ROOM)).alias("fits")), "groups")
+    links = materialise(among(failed.join(size.filter("fits").select("a"), "a"), c, similar), "links")
+    large = size.filter("NOT fits").select("a")
+    if large.isEmpty():
+        return links, large.select(F.col("a").alias("band"), F.col("a").alias("node"))
+    rows = materialise(_spread(failed.join(large, "a", "left_semi")), "deviations")
     for _ in range(PEELS):
         rows = peeled(rows, c, similar)
-    left = rows.select("a", "b").distinct()
-    left = materialise(left.join(left.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1"), "a"), "left")
-    crowd = left.filter(F.col("n") > few)
-    if crowd.isEmpty():
-        forget(rows)
-        return left, crowd.select(F.col("a").alias("band"), F.col("b").alias("node"))
-    rows = rows.join(crowd.select("a").distinct(), "a", "left_semi")
     held = rows.groupBy("a", "key").agg(F.count("*").alias("held")).filter("held > 1")
     rest = rows.join(held, ["a", "key"]).withColumn("rest", _rest(["a", "b"], "held", "w"))
     found = rest.filter(F.col("rest") >= _needed(c)).select(F.xxhash64("a", "key").alias("band"), F.col("b").alias("node"))
     out = materialise(crowded(found), "buckets")
     forget(rows)
-    return left.filter(F.col("n") <= few), out
+    forget(size)
+    return links, out
 
 
-def among(groups: DataFrame, bag: DataFrame, similar: float) -> DataFrame:
-    """Links (a, b) that connect the similar nodes b of each group a, none of which is large: all pairs that aren't connected yet and whose weights allow it."""
+class Member(NamedTuple):
+    node: int
+    weight: float
+    needed: float
+    keys: np.ndarray
+    devs: np.ndarray
 
-    def solve(nodes: list[int], own: list[Bag]) -> Iterator[tuple[int, int]]:
-        total = [float(w.sum()) for _, w in own]
-        order = sorted(range(len(own)), key=total.__getitem__)
-        root = list(range(len(own)))
 
-        def find(x: int) -> int:
-            while root[x] != x:
-                x = root[x]
-            return x
+def connected(own: list[Member], similar: float) -> Iterator[tuple[int, int]]:
+    """Links that connect the similar members of one group: all pairs that aren't connected yet and may be similar.
 
-        for k, i in enumerate(order):
-            for j in order[k + 1 :]:
-                if total[i] < total[j] * similar * NEAR:
-                    break
-                if find(i) != find(j) and compared(own[i], own[j])[0] >= similar:
-                    root[find(i)] = find(j)
-                    yield nodes[i], nodes[j]
+    With W the sum of two weights and D = d(x) + d(y) - 2 S the sum of their
+    differences, weighted Jaccard similarity is (W - D) / (W + D).
+    """
+    for _ in range(PEELS):  # as peeled() does
+        if len(own) < 2:
+            return
+        of = np.repeat(np.arange(len(own)), [len(m.keys) for m in own])
+        keys, devs = np.concatenate([m.keys for m in own]), np.concatenate([m.devs for m in own])
+        _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+        held = times[at]
+        alone = np.bincount(of, devs * ((held == 1) & (keys & 1 == 0)), len(own)).tolist()
+        shared = np.bincount(of, devs * (held > 1), len(own)).tolist()
+        own = [m for m, x, y in zip(own, alone, shared) if x * NEAR <= m.weight * (1 - similar) and y >= m.needed]
+    own.sort(key=lambda m: m.weight)
+    d, root = [float(m.devs.sum()) for m in own], list(range(len(own)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(own):
+        for j in range(i + 1, len(own)):
+            y = own[j]
+            if x.weight < y.weight * similar * NEAR:
+                break
+            if find(i) == find(j):
+                continue
+            _, p, q = np.intersect1d(x.keys, y.keys, assume_unique=True, return_indices=True)
+            apart, both = d[i] + d[j] - 2 * np.minimum(x.devs[p], y.devs[q]).sum(), x.weight + y.weight
+            if both - apart >= similar * (both + apart):
+                root[find(i)] = find(j)
+                yield x.node, y.node
+
+
+def among(failed: DataFrame, c: float, similar: float) -> DataFrame:
+    """Links (a, b) that connect the similar nodes b of each group a, each of which fits a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, nodes, own = None, [], []
-        for b in batches:
+        group, own = None, []
+        for batch in batches:
             out: list[tuple[int, int]] = []
-            for a, node, h, w in zip(b["a"].to_pylist(), b["node"].to_pylist(), b["h"], b["w"]):
+            for a, b, w, need, keys, devs in zip(*(batch[k].to_pylist() for k in ("a", "b", "wb", "needed")), batch["keys"], batch["devs"]):
                 if a != group:
-                    out += solve(nodes, own)
-                    group, nodes, own = a, [], []
-                nodes.append(node)
-                own.append((np.frombuffer(h.as_py(), np.uint64), np.frombuffer(w.as_py(), np.float32).astype(float)))
+                    out += connected(own, similar)
+                    group, own = a, []
+                own.append(Member(b, w, need, keys.values.to_numpy(), devs.values.to_numpy()))
             yield _pairs(out)
-        yield _pairs(list(solve(nodes, own)))
+        yield _pairs(list(connected(own, similar)))
 
-    rows = groups.select("a", F.col("b").alias("node")).join(bag, "node")
-    return rows.repartition("a").sortWithinPartitions("a").select("a", "node", "h", "w").mapInArrow(run, "a long, b long")
+    rows = failed.select("a", "b", "wb", _needed(c).alias("needed"), "keys", "devs")
+    return rows.repartition("a").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
 
 
 def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -472,9 +498,9 @@ def near_links(docs: DataFrame, nodes: DataFrame, marks: DataFrame, idf: Weights
         judged = materialise(judge(pairs, bag), "judged")
         forget(pairs)
         forget(active)
-        groups, active = candidates(judged.filter(F.col("sim") < similar), c, similar, few)
+        more, active = candidates(judged.filter(F.col("sim") < similar), c, similar, few)
         told.append(judged)
-        links += [judged.filter(F.col("sim") >= similar).select("a", "b"), materialise(among(groups, bag, similar), "links")]
+        links += [judged.filter(F.col("sim") >= similar).select("a", "b"), more]
     if not told:
         return marks.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     everything = reduce(DataFrame.union, told)
