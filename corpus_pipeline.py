@@ -12,7 +12,7 @@ kept. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,15 +31,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id and text_sha256 are in gone. Only gone's keys may meet a shuffle twice, a text does once at most."""
-    rows = _keyed(docs)
-    return rows.join(gone, rows["_id"].eqNullSafe(gone["doc_id"]) & (rows["_sha"] == gone["text_sha256"]), "left_anti").select("_row.*")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """_row (all columns of docs, so that no name clashes), _id ('' where there is none), _sha."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), _id(), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("_sha"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """_row (all columns of docs, so that no name clashes), _id, _sha."""
-    return docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("_sha"))
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of _keyed() less those whose doc_id and text_sha256 are in gone; merged in order, so the cost is in proportion at every size."""
+    gone = gone.select(_id(), F.col("text_sha256").alias("_sha"))
+    return rows.join(gone.hint("merge"), ["_id", "_sha"], "left_anti").select("_row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +52,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text counts as empty. Of rows that repeat both the id and the text the
     one with the least hash of all columns stays. Without rows there are none.
     """
-    told = cuckoo.dedup(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count("*").alias("times"))
-    told = materialise(told.filter("NOT stays OR times > 1"), "copies")  # the keys of rows that need a decision
-    again = told.filter("stays").select("doc_id", "text_sha256")
-    rows = _keyed(docs)
-    rows = rows.join(again, rows["_id"].eqNullSafe(again["doc_id"]) & (rows["_sha"] == again["text_sha256"]), "left_semi")
+    told = cuckoo.dedup(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"))
+    gone = materialise(told.filter("NOT stays"), "copies")
     first = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.xxhash64("_row")))
-    return _without(docs, told).union(rows.withColumn("_n", first).filter("_n = 1").select("_row.*"))
+    # The window deals the texts out once, by the keys of the join after it.
+    return _without(_keyed(docs).withColumn("_n", first).filter("_n = 1"), gone)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     verdict, rows that repeat only an id are judged each by its text. Without rows
     there are none.
     """
-    return _without(docs, materialise(minhash.dedup(docs).filter("NOT kept").select("doc_id", "text_sha256").distinct(), "near"))
+    return _without(_keyed(docs), materialise(minhash.dedup(docs).filter("NOT kept").select("doc_id", "text_sha256").distinct(), "near"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
