@@ -3,7 +3,7 @@
 Shared by the quality classifier and the toxicity chain. Training rows are a
 bounded sample of labelled documents (ordered by a hash of the id); n-grams are
 counted by class on the executors and only the `features` best come to the
-driver, where a linear hinge-loss model is fitted by dual coordinate descent.
+driver, where a linear model of squared hinge loss is fitted by dual coordinate descent.
 A fitted model is a table of fixed size that scores a text in one pass.
 """
 

@@ -2,7 +2,7 @@
 
 n-gram indicators (words, word pairs, what stands between words, and runs of
 three word shapes with the gaps between them) are scaled by the log-count ratios
-of the two classes; a linear hinge-loss model over them is fitted by dual
+of the two classes; a linear model of squared hinge loss over them is fitted by dual
 coordinate descent and calibrated by Platt's method on out-of-fold margins.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0,
