@@ -168,13 +168,18 @@ def dir_cards(symbols: DataFrame, docs: DataFrame | None = None) -> DataFrame:
         none = docs.select(T.dirname(F.col("file")).alias("dir"), "file", F.lit(None).cast("string").alias("name"), F.lit("doc").alias("kind"), F.lit(False).alias("exported"), F.lit(False).alias("test"))
         s = s.unionByName(none)
     ext = F.substring_index("file", ".", -1)
-    shown = F.when(F.col("exported") & ~F.col("kind").isin("import", "test"), F.col("name"))
-    out = s.groupBy("dir").agg(
-        F.countDistinct("file").alias("files"), F.array_sort(F.collect_set(F.when(F.length(ext) <= 4, ext))).alias("langs"), F.array_sort(F.collect_set(shown)).alias("all_surface"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "entry", F.col("file")))).alias("all_entries"), F.sum(F.col("test").cast("long")).alias("tests"),
-    )
-    lang = F.array_join("langs", "/")
-    return out.select("dir", "files", F.when(lang == "", "text").otherwise(lang).alias("lang"), F.slice("all_surface", 1, SURFACE).alias("surface"), F.slice("all_entries", 1, ENTRIES).alias("entries"), "tests")
+    out = s.groupBy("dir").agg(F.countDistinct("file").alias("files"), F.array_sort(F.collect_set(F.when(F.length(ext) <= 4, ext))).alias("langs"), F.sum(F.col("test").cast("long")).alias("tests"))
+
+    def first(rows: DataFrame, value: str, most: int, to: str) -> DataFrame:
+        """dir and its first different values in order; a directory's other values never come together."""
+        rows = rows.filter(F.col(value).isNotNull()).select("dir", value).distinct()
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("dir").orderBy(value))).filter(F.col("k") <= most)
+        return rows.groupBy("dir").agg(F.array_sort(F.collect_list(value)).alias(to))
+
+    surface = first(s.filter(F.col("exported") & ~F.col("kind").isin("import", "test")), "name", SURFACE, "surface")
+    out = out.join(surface, "dir", "left").join(first(s.filter("kind = 'entry'"), "file", ENTRIES, "entries"), "dir", "left")
+    lang, none = F.array_join("langs", "/"), F.array().cast("array<string>")
+    return out.select("dir", "files", F.when(lang == "", "text").otherwise(lang).alias("lang"), F.coalesce("surface", none).alias("surface"), F.coalesce("entries", none).alias("entries"), "tests")
 
 
 def rank_dirs(cards: DataFrame, hits: DataFrame, semantic: DataFrame | None = None, task: str = "task_id", most: int = CARDS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconry.operators import bm25, docs, extract, graph, pack, rank
-from beaconry.plans.storage import written
+from beaconry.plans.storage import few_broadcasts, written
 from beaconry.sources import tree
 
 
@@ -30,6 +30,11 @@ class Corpus:
 
 def build(files: DataFrame, overlay: tuple[DataFrame, DataFrame] | None = None) -> Corpus:
     """files: path, content. Python goes through the syntax tree, other known languages through lines, prose into sections."""
+    with few_broadcasts(files.sparkSession):
+        return _build(files, overlay)
+
+
+def _build(files: DataFrame, overlay: tuple[DataFrame, DataFrame] | None) -> Corpus:
     text = tree.decode(files)
     code = text.filter(extract.T.language(F.col("path")).isNotNull())
     s1, e1, i1 = extract.by_tree(code)
@@ -52,36 +57,38 @@ def build(files: DataFrame, overlay: tuple[DataFrame, DataFrame] | None = None)
 
 def observe(c: Corpus, tasks: DataFrame, budget: int = 1200, changed: DataFrame | None = None, cochanged: DataFrame | None = None, semantic: DataFrame | None = None, lanes: tuple[str, ...] = ("bm25", "docs", "files", "semantic"), seen: DataFrame | None = None) -> DataFrame:
     """A capsule for each of many tasks (task_id, text)."""
-    names = c.files.select(F.col("path").alias("file"))
-    explicit = rank.explicit_files(tasks, names)
-    tasks, explicit = written(tasks, "tasks"), written(explicit, "explicit")
-    # Hits are read several times in each lane, so every lane's result is a table; a task has a few hundred of them.
-    lex = written(rank.lexical(tasks, c.symbols, c.edges, changed, explicit, cochanged), "lexical")
-    hits = written(rank.combine(lex, rank.propagate(lex.select("task_id", "id", "base"), c.edges), c.symbols, tasks, explicit), "hits")
-    if "bm25" in lanes:
-        rows = c.symbols.select("id", F.concat_ws(" ", "name", "sig", "doc", "file").alias("body"))
-        sym = written(bm25.search(rows, tasks, "id", "body", "task_id", "text", stem=True), "bm25")
-        no = sym.limit(0).select("task_id", F.lit("").alias("file"), F.lit(1).alias("line"), F.lit(0.0).alias("bm25"), F.lit(0).cast("long").alias("coverage"))
-        found = no
-        if "docs" in lanes:
-            secs = c.sections.select(F.concat_ws("#", "file", F.col("sec_idx").cast("string")).alias("key"), F.concat_ws(" ", "text", "file").alias("body"), "file", "line")
-            best = bm25.search(secs, tasks, "key", "body", "task_id", "text", stem=True).join(secs.select("key", "file", "line"), "key")
-            best = best.groupBy("task_id", "file").agg(F.min_by("line", "rank").alias("line"), F.max("score").alias("bm25"))
-            held = c.docs.select("file", F.explode(rank.T.meaningful(F.col("text"))).alias("term")).join(rank.task_terms(tasks).distinct(), "term").groupBy("task_id", "file").agg(F.count("*").alias("coverage"))
-            found = best.join(held, ["task_id", "file"], "left").fillna(0, ["coverage"])
-        hits = written(rank.fuse_bm25(hits, c.symbols, written(found, "bm25"), sym, tasks, lex), "hits")
-    if "files" in lanes:
-        content = rank.symbol_terms(c.symbols).join(c.symbols.select("id", "file"), "id").select("file", "term").union(c.docs.select("file", F.explode(rank.T.meaningful(F.col("text"))).alias("term"))).distinct()
-        hits = written(rank.fuse_files(hits, written(rank.rank_files(tasks, names, content), "files")), "hits")
-    gate = written(rank.confidence(hits, tasks), "gate")
-    if "semantic" in lanes and semantic is not None:
-        open_ = gate.filter(F.col("confidence").isin("weak", "empty")).select("task_id")
-        info = c.symbols.select("id", "file", "name", "kind", "sig", "sl", "el", "name_line", "conf")
-        hits = written(rank.fuse_semantic(hits, semantic.join(open_, "task_id", "left_semi"), info, tasks), "hits")
-    cards = graph.dir_cards(c.symbols, c.docs)
-    top = graph.rank_dirs(cards, hits).select("task_id", "k", graph.render_card().alias("card"))
-    told = None if changed is None else tasks.select("task_id").crossJoin(changed.select("file").orderBy("file").limit(8))
-    return pack.capsules(tasks, hits, gate, top, told, rank.unresolved_terms(tasks, hits), seen, budget)
+    with few_broadcasts(tasks.sparkSession):
+        names = c.files.select(F.col("path").alias("file"))
+        explicit = rank.explicit_files(tasks, names)
+        tasks, explicit = written(tasks, "tasks"), written(explicit, "explicit")
+        # Hits are read several times in each lane, so every lane's result is a table; a task has a few hundred of them.
+        lex = written(rank.lexical(tasks, c.symbols, c.edges, changed, explicit, cochanged), "lexical")
+        hits = written(rank.combine(lex, rank.propagate(lex.select("task_id", "id", "base"), c.edges), c.symbols, tasks, explicit), "hits")
+        if "bm25" in lanes:
+            rows = c.symbols.select("id", F.concat_ws(" ", "name", "sig", "doc", "file").alias("body"))
+            sym = written(bm25.search(rows, tasks, "id", "body", "task_id", "text", stem=True), "bm25")
+            no = sym.limit(0).select("task_id", F.lit("").alias("file"), F.lit(1).alias("line"), F.lit(0.0).alias("bm25"), F.lit(0).cast("long").alias("coverage"))
+            found = no
+            if "docs" in lanes:
+                secs = c.sections.select(F.concat_ws("#", "file", F.col("sec_idx").cast("string")).alias("key"), F.concat_ws(" ", "text", "file").alias("body"), "file", "line")
+                best = bm25.search(secs, tasks, "key", "body", "task_id", "text", stem=True).join(secs.select("key", "file", "line"), "key")
+                best = best.groupBy("task_id", "file").agg(F.min_by("line", "rank").alias("line"), F.max("score").alias("bm25"))
+                held = c.docs.select("file", F.explode(rank.T.meaningful(F.col("text"))).alias("term")).join(rank.task_terms(tasks).distinct(), "term").groupBy("task_id", "file").agg(F.count("*").alias("coverage"))
+                found = best.join(held, ["task_id", "file"], "left").fillna(0, ["coverage"])
+            hits = written(rank.fuse_bm25(hits, c.symbols, written(found, "bm25"), sym, tasks, lex), "hits")
+        if "files" in lanes:
+            content = rank.symbol_terms(c.symbols).join(c.symbols.select("id", "file"), "id").select("file", "term").union(c.docs.select("file", F.explode(rank.T.meaningful(F.col("text"))).alias("term"))).distinct()
+            hits = written(rank.fuse_files(hits, written(rank.rank_files(tasks, names, content), "files")), "hits")
+        gate = written(rank.confidence(hits, tasks), "gate")
+        if "semantic" in lanes and semantic is not None:
+            open_ = gate.filter(F.col("confidence").isin("weak", "empty")).select("task_id")
+            info = c.symbols.select("id", "file", "name", "kind", "sig", "sl", "el", "name_line", "conf")
+            hits = written(rank.fuse_semantic(hits, semantic.join(open_, "task_id", "left_semi"), info, tasks), "hits")
+        cards = graph.dir_cards(c.symbols, c.docs)
+        top = graph.rank_dirs(cards, hits).select("task_id", "k", graph.render_card().alias("card"))
+        top, unresolved = written(top, "dirs"), written(rank.unresolved_terms(tasks, hits), "unresolved")
+        told = None if changed is None else tasks.select("task_id").crossJoin(changed.select("file").orderBy("file").limit(8))
+    return pack.capsules(tasks, hits, gate, top, told, unresolved, seen, budget)
 
 
 @dataclass
